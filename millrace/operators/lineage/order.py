@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.lineage.reach import upstream
 from millrace.operators.lineage.rounds import MAX_ROUNDS, EdgeTable, RoundTable, check_round
 from millrace.operators.ranking import with_position
 from millrace.session import checkpointed
@@ -52,83 +53,117 @@ def reachable_levels(
         return done.select("id", F.col("round").cast("bigint").alias("level"))
 
 
-def cyclic_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+def cyclic_components(edges: DataFrame) -> DataFrame:
     """``(id, component)`` for every node on a cycle; the component is named by its smallest id.
 
-    Acyclic parts are peeled off first, from both sides. What is left is split by colours: each node
-    takes the smallest id that reaches it, and the nodes that reach back to that id inside their
-    colour form one component. The rest goes round again. A node with an edge to itself is a
-    component too. Work grows with the edges per round, never with pairs of nodes.
+    Acyclic parts are trimmed first, from both sides. What is left is split by two labels: the
+    smallest id that reaches a node, and the smallest id that it reaches. Where they are equal, the
+    node is on a cycle with that id, and all such nodes form its component. An edge whose ends
+    differ in a label lies on no cycle; the other edges go round again without the found nodes. A
+    node with an edge to itself is a component too. Each round costs a pass over the edges that
+    are left, never over pairs of nodes.
     """
-    spark = edges.sparkSession
     pairs = edges.select("source_id", "target_id")
     loops = pairs.filter(F.col("source_id") == F.col("target_id")).select(F.col("source_id").alias("id")).distinct()
-    rest = checkpointed(pairs.filter(F.col("source_id") != F.col("target_id")).distinct())
+    rest = _trimmed(checkpointed(pairs.filter(F.col("source_id") != F.col("target_id")).distinct()))
     found: list[DataFrame] = []
-    while True:
-        rest = _peeled(_peeled(rest, "source_id"), "target_id")
-        if rest.isEmpty():
-            break
-        colours = _colours(rest)
-        source = colours.select(F.col("id").alias("source_id"), F.col("label").alias("source_label"))
-        target = colours.select(F.col("id").alias("target_id"), F.col("label").alias("target_label"))
-        inside = (
-            rest.join(source, "source_id")
-            .join(target, "target_id")
-            .filter(F.col("source_label") == F.col("target_label"))
-        )
-        # An edge between two colours lies on no cycle, so it is not needed again.
-        rest = checkpointed(inside.select("source_id", "target_id"))
-        roots = colours.filter(F.col("id") == F.col("label")).select("id")
-        members = upstream(rest, roots).select("id")
-        part = checkpointed(members.join(colours, "id").select("id", F.col("label").alias("component")))
-        found.append(part)
-        ids = part.select("id")
-        rest = rest.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_anti")
-        rest = checkpointed(
-            rest.join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_anti").select(
-                "source_id", "target_id"
-            )
-        )
+    while not rest.isEmpty():
+        labels = _labels(rest)
+        cyclic = F.col("up") == F.col("down")
+        found.append(labels.filter(cyclic).select("id", F.col("up").alias("component")))
+        undecided = labels.filter(~cyclic)
+        source = undecided.select(F.col("id").alias("source_id"), F.struct("up", "down").alias("s"))
+        target = undecided.select(F.col("id").alias("target_id"), F.struct("up", "down").alias("t"))
+        alike = rest.join(source, "source_id").join(target, "target_id").filter(F.col("s") == F.col("t"))
+        rest = checkpointed(alike.select("source_id", "target_id"))
     if not found:
         return loops.select("id", F.col("id").alias("component"))
-    parts = found[0]
-    for part in found[1:]:
-        parts = parts.union(part)
+    parts = reduce(DataFrame.union, found)
     larger = parts.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("component")
     members = parts.join(larger, "component", "left_semi").select("id", "component")
     alone = loops.join(members, "id", "left_anti").select("id", F.col("id").alias("component"))
     return members.union(alone)
 
 
-def _peeled(edges: DataFrame, walk_from: str) -> DataFrame:
-    """Edges left after removing, again and again, nodes without edges on the ``walk_from`` side."""
-    if edges.isEmpty():
-        return edges
-    gone = reachable_levels(endpoints(edges), edges, walk_from).select("id")
-    left = edges.join(gone.withColumnRenamed("id", "source_id"), "source_id", "left_anti")
-    left = left.join(gone.withColumnRenamed("id", "target_id"), "target_id", "left_anti")
-    return checkpointed(left.select("source_id", "target_id"))
+def _both_ways(edges: DataFrame) -> DataFrame:
+    """Each edge twice: forward, and backward with its ends exchanged."""
+    backward = edges.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"))
+    return edges.withColumn("forward", F.lit(True)).unionByName(backward.withColumn("forward", F.lit(False)))
 
 
-def _colours(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """``(id, label)``: the smallest id from which a node can be reached, itself included."""
+def _trimmed(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+    """Edges left after removing, again and again, nodes without inputs or without outputs."""
     spark = edges.sparkSession
-    with EdgeTable(edges, "source_id") as walk, RoundTable(spark, "colours") as table:
-        changed = table.append(endpoints(edges).select("id", F.col("id").alias("label")), 0)["n"]
+    degrees = checkpointed(
+        _both_ways(edges)
+        .groupBy(F.col("target_id").alias("id"))
+        .agg(F.count_if("forward").alias("need_in"), F.count_if(~F.col("forward")).alias("need_out"))
+    )
+    counted = _both_ways(edges).join(degrees.withColumnRenamed("id", "target_id"), "target_id")
+    with EdgeTable(counted, "source_id") as walk, RoundTable(spark, "trimmed", ("gone",)) as progress:
+        bare = degrees.filter("need_in = 0 OR need_out = 0").select("id")
+        zero = F.lit(0).cast("bigint")
+        start = bare.select("id", zero.alias("got_in"), zero.alias("got_out"), F.lit(True).alias("gone"))
+        gone = progress.append(start, 0)["n"]
+        round_no = 0
+        while gone:
+            check_round(round_no, max_rounds)
+            lost = (
+                walk.step(progress.at(round_no).filter("gone").select("id"))
+                .groupBy(F.col("to_id").alias("id"))
+                .agg(
+                    F.count_if("forward").alias("lost_in"),
+                    F.count_if(~F.col("forward")).alias("lost_out"),
+                    F.max("need_in").alias("need_in"),
+                    F.max("need_out").alias("need_out"),
+                )
+            )
+            before = (
+                progress.all()
+                .groupBy("id")
+                .agg(F.max("got_in").alias("had_in"), F.max("got_out").alias("had_out"), F.bool_or("gone").alias("was"))
+            )
+            touched = lost.join(before, "id", "left").filter("was IS NULL OR NOT was")
+            counts = touched.select(
+                "id",
+                (F.col("lost_in") + F.coalesce("had_in", F.lit(0))).alias("got_in"),
+                (F.col("lost_out") + F.coalesce("had_out", F.lit(0))).alias("got_out"),
+                "need_in",
+                "need_out",
+            )
+            bared = (F.col("got_in") == F.col("need_in")) | (F.col("got_out") == F.col("need_out"))
+            round_no += 1
+            rows = counts.select("id", "got_in", "got_out", bared.alias("gone"))
+            gone = progress.append(rows, round_no, {"gone": F.count_if("gone")})["gone"]
+        removed = progress.result().filter("gone").select("id")
+        left = edges.join(removed.withColumnRenamed("id", "source_id"), "source_id", "left_anti")
+        left = left.join(removed.withColumnRenamed("id", "target_id"), "target_id", "left_anti")
+        return checkpointed(left.select("source_id", "target_id"))
+
+
+def _labels(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+    """``(id, up, down)``: the smallest ids that reach a node and that it reaches, itself included."""
+    spark = edges.sparkSession
+    with EdgeTable(_both_ways(edges), "source_id") as walk, RoundTable(spark, "labels") as table:
+        start = endpoints(edges).select("id", F.col("id").alias("up"), F.col("id").alias("down"))
+        changed = table.append(start, 0)["n"]
         round_no = 0
         while changed:
             check_round(round_no, max_rounds)
             offers = (
-                walk.step(table.at(round_no).select("id", "label"))
+                walk.step(table.at(round_no).select("id", "up", "down"))
                 .groupBy(F.col("to_id").alias("id"))
-                .agg(F.min("label").alias("offer"))
+                .agg(
+                    F.min(F.when(F.col("forward"), F.col("up"))).alias("new_up"),
+                    F.min(F.when(~F.col("forward"), F.col("down"))).alias("new_down"),
+                )
             )
-            current = table.all().groupBy("id").agg(F.min("label").alias("label"))
-            better = offers.join(current, "id").filter(F.col("offer") < F.col("label"))
+            current = table.all().groupBy("id").agg(F.min("up").alias("up"), F.min("down").alias("down"))
+            better = offers.join(current, "id").filter("new_up < up OR new_down < down")
+            rows = better.select("id", F.least("up", "new_up").alias("up"), F.least("down", "new_down").alias("down"))
             round_no += 1
-            changed = table.append(better.select("id", F.col("offer").alias("label")), round_no)["n"]
-        return checkpointed(table.result().groupBy("id").agg(F.min("label").alias("label")))
+            changed = table.append(rows, round_no)["n"]
+        return checkpointed(table.result().groupBy("id").agg(F.min("up").alias("up"), F.min("down").alias("down")))
 
 
 def topological_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -143,7 +178,18 @@ def topological_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def order_violations(edges: DataFrame, order: DataFrame) -> DataFrame:
     """Edges whose source does not come before their target in ``order(id, position)``."""
+    return _placed(edges, order).filter(F.col("source_position") >= F.col("target_position"))
+
+
+def order_check(edges: DataFrame, order: DataFrame) -> DataFrame:
+    """``(n_edges, n_violations)``; an order is valid when the second is 0."""
+    return _placed(edges, order).agg(
+        F.count(F.lit(1)).alias("n_edges"),
+        F.count_if(F.col("source_position") >= F.col("target_position")).alias("n_violations"),
+    )
+
+
+def _placed(edges: DataFrame, order: DataFrame) -> DataFrame:
     source = order.select(F.col("id").alias("source_id"), F.col("position").alias("source_position"))
     target = order.select(F.col("id").alias("target_id"), F.col("position").alias("target_position"))
-    placed = edges.select("source_id", "target_id").join(source, "source_id").join(target, "target_id")
-    return placed.filter(F.col("source_position") >= F.col("target_position"))
+    return edges.select("source_id", "target_id").join(source, "source_id").join(target, "target_id")

@@ -102,8 +102,7 @@ def task_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- a ledger from the events -----------------------------------------------------------------
 
-# The states of a task run.
-STATUSES = ("PENDING", "RUNNING", "SUCCEEDED", "FAILED", "SKIPPED")
+# How the types of events are read as states of a task run.
 EVENT_STATUS = {
     "signup": "PENDING", "view": "RUNNING", "purchase": "SUCCEEDED", "error": "FAILED", "click": "SKIPPED",
 }
@@ -129,10 +128,20 @@ LEDGER_SPLIT = "2024-01-16"
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status changes: ``(event_id, ts, project_id, run_slug, task_id, status)``."""
+    return status_changes(read_table(spark, sf_dir, "events"))
+
+
+def ledger_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same changes as a stream over the event files."""
+    schema = read_table(spark, sf_dir, "events").schema
+    return status_changes(spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*"))
+
+
+def status_changes(events: DataFrame) -> DataFrame:
     status = F.lit(None).cast("string")
     for event_type, name in EVENT_STATUS.items():
         status = F.when(F.col("event_type") == event_type, name).otherwise(status)
-    return read_table(spark, sf_dir, "events").select(
+    return events.select(
         "event_id",
         "ts",
         F.concat(F.lit("proj-"), F.col("user_id") % 10).alias("project_id"),

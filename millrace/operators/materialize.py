@@ -18,10 +18,17 @@ Compute = Callable[[], DataFrame]
 Target = tuple[str, str]  # (path, format)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def is_complete(spark: SparkSession, path: str) -> bool:
-    """True when a finished write left its commit marker in ``path``."""
-    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
-    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+    """True when a finished write left its commit marker in ``path``.
+
+    Refreshing single partitions leaves no marker; a first full write does.
+    """
+    return path_exists(spark, f"{path.rstrip('/')}/_SUCCESS")
 
 
 def read_back(spark: SparkSession, path: str, fmt: str = "parquet", schema=None) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from millrace.operators.ledger import latest_by
-from millrace.operators.materialize import is_complete, refresh_partitions
+from millrace.operators.materialize import path_exists, refresh_partitions
 
 
 def arriving_files(spark: SparkSession, path: str, schema, glob: str | None = None, **options) -> DataFrame:
@@ -42,7 +42,7 @@ def keep_latest(
     def upsert(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         rows = batch
-        if is_complete(spark, path):
+        if path_exists(spark, path):
             table = spark.read.schema(batch.schema).parquet(path).select(*batch.columns)
             touched = batch.select(partition).distinct()
             rows = table.join(touched, partition, "left_semi").select(*batch.columns).unionByName(batch)

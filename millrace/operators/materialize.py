@@ -8,7 +8,7 @@ from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructType
 from pyspark.storagelevel import StorageLevel
 
 from millrace.sinks.files import write
@@ -31,27 +31,32 @@ def is_complete(spark: SparkSession, path: str) -> bool:
     return path_exists(spark, f"{path.rstrip('/')}/_SUCCESS")
 
 
-def read_back(spark: SparkSession, path: str, fmt: str = "parquet", schema=None) -> DataFrame:
-    """Reopen a saved result. ``schema`` restores types that a text format does not keep."""
+def read_back(spark: SparkSession, path: str, fmt: str = "parquet", schema=None, **options) -> DataFrame:
+    """Reopen a saved result. ``schema`` restores types that a text format does not keep.
+
+    ``options`` are those it was written with. CSV does not tell an empty text from NULL, and both
+    come back as NULL, unless ``nullValue`` was given.
+    """
     if fmt == "csv":
         # A quoted text may hold line breaks, so a file is then one task's work.
-        has_text = schema is None or any(isinstance(f.dataType, StringType) for f in schema)
-        return files.read_csv(spark, path, schema, multiLine=has_text)
+        fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        has_text = fields is None or any(isinstance(f.dataType, StringType) for f in fields)
+        return files.read_csv(spark, path, schema, **{"multiLine": has_text, **options})
     if fmt == "json":
-        return files.read_json(spark, path, schema)
+        return files.read_json(spark, path, schema, **options)
     if fmt == "text":
-        return files.read_text(spark, path)
+        return files.read_text(spark, path, **options)
     if fmt == "matrix":
-        return files.read_matrix(spark, path)
+        return files.read_matrix(spark, path, **options)
     reader = spark.read.schema(schema) if schema is not None else spark.read
-    return reader.format(fmt).load(path)
+    return reader.options(**options).format(fmt).load(path)
 
 
 def materialize(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists", **options) -> DataFrame:
     """Save ``df`` and pass it on. What is passed on reads the saved files: ``df`` runs once."""
     schema = None if fmt in ("text", "matrix") else df.schema
     write(df, path, fmt, mode, **options)
-    return read_back(df.sparkSession, path, fmt, schema)
+    return read_back(df.sparkSession, path, fmt, schema, **options)
 
 
 def materialize_many(outputs: Sequence[DataFrame], targets: Sequence[Target], shared: DataFrame | None = None):
@@ -78,6 +83,7 @@ def read_or_compute(
     schema=None,
     done: Callable[[], bool] | None = None,
     full_refresh: bool = False,
+    **options,
 ) -> DataFrame:
     """The saved result when there is one and it counts as done, else the computed and saved one.
 
@@ -86,15 +92,15 @@ def read_or_compute(
     """
     finished = is_complete(spark, path)
     if not full_refresh and finished and (done is None or done()):
-        return read_back(spark, path, fmt, schema)
+        return read_back(spark, path, fmt, schema, **options)
     if compute is None:
         if finished:
-            return read_back(spark, path, fmt, schema)
+            return read_back(spark, path, fmt, schema, **options)
         raise ValueError(f"nothing is saved at {path} and the step that fills it was not run")
     result = compute()
     if result is None:
         raise ValueError(f"the step for {path} produced no output")
-    return materialize(result, path, fmt, mode="overwrite")
+    return materialize(result, path, fmt, mode="overwrite", **options)
 
 
 def read_many(spark: SparkSession, targets: Mapping[str, Target], schemas: Mapping | None = None):

@@ -103,10 +103,12 @@ def status_violations(df: DataFrame, legal: Sequence[str] = TASK_RUN_STATUSES) -
 def navigate(
     projects: DataFrame, runs: DataFrame, task_runs: DataFrame, rows_per_task: int = ROWS_PER_TASK
 ) -> DataFrame:
-    """Task runs with their run and project. A run with very many task runs is spread by salt."""
-    with_run = join_many_to_one(task_runs, runs, ["run_slug"], spread=["task_id"], rows_per_task=rows_per_task)
-    spread = ["run_slug", "task_id"]
-    return join_many_to_one(with_run, projects, ["project_id"], spread=spread, rows_per_task=rows_per_task)
+    """Task runs with their run and project. A run or project that holds very much is spread by salt.
+
+    Runs get their project first: they are far fewer than task runs.
+    """
+    placed = join_many_to_one(runs, projects, ["project_id"], spread=["run_slug"], rows_per_task=rows_per_task)
+    return join_many_to_one(task_runs, placed, ["run_slug"], spread=["task_id"], rows_per_task=rows_per_task)
 
 
 def lookup(df: DataFrame, **equals) -> DataFrame:

@@ -75,7 +75,8 @@ def select_by_glob(nodes: DataFrame, globs: DataFrame | list[str], path: str = "
     """Nodes whose path lies under the folder of a ``folder/*`` pattern, at any depth.
 
     A list of patterns, as a user types it, becomes a filter. A table of patterns is joined on
-    equal folder names, after listing the folders above each path.
+    equal folder names: the folders that occur are few, so each of them is matched once, with all
+    folders above it, and the nodes are then joined to the folders found.
     """
     if isinstance(globs, list):
         bad = [g for g in globs if not g.endswith("/*") or len(g) < 3]
@@ -85,13 +86,14 @@ def select_by_glob(nodes: DataFrame, globs: DataFrame | list[str], path: str = "
         for glob in globs:
             inside = inside | F.col(path).startswith(glob[:-1])
         return nodes.filter(inside)
-    parts = F.split(path, "/")
-    depths = F.sequence(F.lit(1), F.size(parts) - 1)
+    placed = nodes.withColumn("_folder", F.regexp_extract(path, "^(.*)/", 1))
+    parts = F.split("_folder", "/")
+    depths = F.sequence(F.lit(1), F.size(parts))
     above = F.transform(depths, lambda d: F.array_join(F.slice(parts, F.lit(1), d), "/"))
-    folders = globs.select(F.regexp_replace("glob", r"/\*$", "").alias("_folder")).distinct()
-    listed = nodes.filter(F.size(parts) > 1).select("*", F.explode(above).alias("_folder"))
-    # Nested patterns may match a node more than once; the node is wanted once.
-    return listed.join(folders, "_folder", "left_semi").drop("_folder").dropDuplicates(nodes.columns)
+    wanted = globs.select(F.regexp_replace("glob", r"/\*$", "").alias("_wanted")).distinct()
+    occurring = placed.select("_folder").distinct().select("_folder", F.explode(above).alias("_wanted"))
+    matched = occurring.join(wanted, "_wanted", "left_semi").select("_folder").distinct()
+    return placed.join(matched, "_folder", "left_semi").select(*nodes.columns)
 
 
 def induced_subgraph(edges: DataFrame, selected: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import is_rule_line, strip_ansi
+from millrace.functions.text import is_rule_line
 
 # The layout of a log line.
 LINE_WIDTH = 80
@@ -19,7 +19,7 @@ STATUS_LABELS = {
     "SKIP": "[orange1]SKIP[/orange1]",
 }
 VERBS = {"RUN": "RUNNING", "DONE": "FINISHED", "ERROR": "ERROR IN", "SKIP": "SKIPPING"}
-ANY_MARKUP = r"\[/?[a-z]+\d*\]"
+COLOURS = "\x1b[^m]*m|\\[/?[a-z]+\\d*\\]"
 LINE_PATTERN = (
     r"^(\d{2}:\d{2}:\d{2}) \| (?:(\d+) of (\d+) )?(RUNNING|FINISHED|ERROR IN|SKIPPING) TASK (.*?)"
     r"(?: \(RETRY \d+\))*?(?: \(RETRY (\d+)\))?\.* \[(RUN|DONE|ERROR|SKIP)(?: in (\d+\.\d+)s)?\]$"
@@ -75,12 +75,14 @@ def format_lines(records: DataFrame) -> DataFrame:
 def parse_lines(df: DataFrame, line: str = "line") -> DataFrame:
     """Add the typed fields of each log line; colours are removed and section rules are dropped.
 
-    Lines of another form keep their text, with NULL fields. The pattern runs once per line.
+    Lines of another form keep their text, with NULL fields. The generator keeps the optimizer from
+    copying the pattern into each field and into later filters, so it runs once per line.
     """
-    clean = F.regexp_replace(strip_ansi(F.col(line)), ANY_MARKUP, "")
+    clean = F.regexp_replace(line, COLOURS, "")
     groups = _SEPARATOR.join(f"${i + 1}" for i in range(len(LINE_FIELDS)))
-    kept = df.withColumn("_clean", clean).filter(~is_rule_line(F.col("_clean")))
-    cut = kept.withColumn("_fields", F.split(F.regexp_replace("_clean", LINE_PATTERN, groups), _SEPARATOR))
+    kept = df.select("*", F.explode(F.array(clean)).alias("_clean")).filter(~is_rule_line(F.col("_clean")))
+    fields = F.split(F.regexp_replace("_clean", LINE_PATTERN, groups), _SEPARATOR)
+    cut = kept.select("*", F.explode(F.array(fields)).alias("_fields"))
     is_line = F.size("_fields") == len(LINE_FIELDS)
     field = {
         name: F.when(is_line, F.nullif(F.col("_fields")[i], F.lit(""))) for i, name in enumerate(LINE_FIELDS)

@@ -56,11 +56,11 @@ def ctx_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def ctx_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = read_table(spark, sf_dir, "events").select("event_id", "event_type", "props")
     project = F.create_map(F.lit("k"), F.lit("-1"), F.lit("step"), F.col("event_type"))
-    merged = events.select(
-        "event_id", params.ctx_merge(project, params.json_to_map(F.col("props"))).alias("ctx")
+    both = read_table(spark, sf_dir, "events").select(
+        "event_id", project.alias("project"), params.json_to_map(F.col("props")).alias("runtime")
     )
+    merged = both.select("event_id", params.ctx_merge(F.col("project"), F.col("runtime")).alias("ctx"))
     return merged.select(
         "event_id",
         F.try_element_at("ctx", F.lit("k")).alias("k"),

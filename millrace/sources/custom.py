@@ -81,6 +81,9 @@ def register_format(
             for file in sorted((f for f in files if f.is_file), key=lambda f: f.path):
                 if file.base_name.startswith(("_", ".")) or not file.path.endswith(suffix):
                     continue
+                if count_pieces is _one_piece:
+                    pieces.append(FilePiece(file.path, 0))
+                    continue
                 with system.open_input_file(file.path) as stream:
                     pieces += [FilePiece(file.path, i) for i in range(count_pieces(stream))]
             return pieces

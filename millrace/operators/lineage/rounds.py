@@ -42,7 +42,8 @@ class EdgeTable(_Table):
     """Edges stored for walking from ``walk_from`` (``source_id`` or ``target_id``) to the other end.
 
     Extra columns of ``edges`` are kept and come with each step. A node with very many edges is
-    spread over several buckets by salt.
+    spread over several buckets by salt. ``edges`` is computed twice, once to count: save edges that
+    are expensive to compute, such as those extracted from texts, before walking them.
     """
 
     def __init__(self, edges: DataFrame, walk_from: str, rows_per_task: int = ROWS_PER_TASK):
@@ -61,18 +62,18 @@ class EdgeTable(_Table):
             .format("parquet")
             .saveAsTable(self.name)
         )
+        self.edges = self.spark.table(self.name)
         if self.hot is not None:
             self.hot = self.hot.withColumnRenamed(walk_from, "id")
 
     def step(self, frontier: DataFrame) -> DataFrame:
         """One step from the ``id`` of each frontier row; its other columns come along."""
         kept = [c for c in frontier.columns if c != "id"]
-        edges = self.spark.table(self.name)
         if self.hot is None:
-            joined = frontier.join(edges, F.col("id") == F.col("from_id"))
+            joined = frontier.join(self.edges, F.col("id") == F.col("from_id"))
         else:
             spread = repeat_for_salts(frontier, ["id"], self.hot).withColumnRenamed("salt", "_salt")
-            joined = spread.join(edges, (F.col("id") == F.col("from_id")) & (F.col("_salt") == F.col("salt")))
+            joined = spread.join(self.edges, (F.col("id") == F.col("from_id")) & (F.col("_salt") == F.col("salt")))
         return joined.select(F.col("to_id"), *kept, *self.extra)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 from pyspark.storagelevel import StorageLevel
 
-from millrace.sinks.files import write
+from millrace.sinks.files import write, write_by_key
 from millrace.sources import files
 
 Compute = Callable[[], DataFrame]
@@ -103,6 +103,22 @@ def read_or_compute(
     return materialize(result, path, fmt, mode="overwrite", **options)
 
 
+def fan_out(
+    df: DataFrame,
+    key: str,
+    path: str,
+    fmt: str = "parquet",
+    done: Callable[[], bool] | None = None,
+    full_refresh: bool = False,
+    **options,
+) -> str:
+    """One folder per key, written unless that is done already; returns the path."""
+    finished = is_complete(df.sparkSession, path)
+    if full_refresh or not finished or (done is not None and not done()):
+        write_by_key(df, key, path, fmt, mode="overwrite", **options)
+    return path
+
+
 def read_many(spark: SparkSession, targets: Mapping[str, Target], schemas: Mapping | None = None):
     """Reopen several saved outputs by name."""
     schemas = schemas or {}

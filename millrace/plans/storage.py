@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.materialize import (
     append_missing,
+    fan_out,
     is_complete,
     materialize,
     materialize_many,
@@ -212,7 +213,7 @@ def multi_target(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def keyed_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
-    path = write_by_key(orders, "o_orderpriority", scratch_dir(spark, "fanout"))
+    path = fan_out(orders, "o_orderpriority", scratch_dir(spark, "fanout"))
     return spark.read.schema(orders.schema).parquet(path)
 
 

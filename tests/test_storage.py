@@ -129,6 +129,20 @@ def test_fan_out_checks(spark):
         write_by_key(spark.createDataFrame([("a", 1), (None, 2)], "k string, v int"), "k", scratch_dir(spark, "f"))
 
 
+def test_fan_out_is_done_once(spark):
+    path = scratch_dir(spark, "fan")
+
+    def keys_after(rows, **how):
+        df = spark.createDataFrame(rows, "k string, v int")
+        assert m.fan_out(df, "k", path, "json", **how) == path
+        return {(r.k, r.v) for r in spark.read.schema(df.schema).json(path).collect()}
+
+    assert keys_after([("a/b", 1), ("c", 2), ("10", 3)]) == {("a/b", 1), ("c", 2), ("10", 3)}
+    assert keys_after([("z", 9)]) == {("a/b", 1), ("c", 2), ("10", 3)}
+    assert keys_after([("z", 9)], done=lambda: False) == {("z", 9)}
+    assert keys_after([("y", 8)], full_refresh=True) == {("y", 8)}
+
+
 def test_targets_and_outputs_must_match(spark):
     with pytest.raises(ValueError, match="2 outputs for 1"):
         m.materialize_many([spark.range(1), spark.range(2)], [(scratch_dir(spark, "x"), "parquet")])

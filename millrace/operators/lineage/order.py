@@ -9,29 +9,35 @@ from pyspark.sql import functions as F
 
 from millrace.operators.lineage.rounds import MAX_ROUNDS, EdgeTable, RoundTable, check_round
 from millrace.operators.ranking import with_position
-from millrace.session import checkpointed
+from millrace.session import stored
 
 
 def endpoints(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("source_id").alias("id")).union(edges.select("target_id")).distinct()
 
 
-def reachable_levels(
-    nodes: DataFrame, edges: DataFrame, walk_from: str = "source_id", max_rounds: int = MAX_ROUNDS
-) -> DataFrame:
+def all_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The given nodes and those that only edges name."""
+    return nodes.select("id").union(endpoints(edges)).distinct()
+
+
+def reachable_levels(nodes: DataFrame, edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """``(id, level)``: the longest path from a node without inputs, 0 for such a node itself.
 
     A node gets its level when the last of its inputs has one, so each edge is used once. Nodes on
     a cycle, and nodes behind one, get none and are missing from the result.
     """
+    return _levels(all_nodes(nodes, edges), edges, max_rounds)
+
+
+def _levels(nodes: DataFrame, edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     spark = edges.sparkSession
-    walk_to = {"source_id": "target_id", "target_id": "source_id"}[walk_from]
     pairs = edges.select("source_id", "target_id").distinct()
-    needs = pairs.groupBy(walk_to).agg(F.count(F.lit(1)).alias("need"))
-    counted = checkpointed(pairs.join(needs, walk_to).select("source_id", "target_id", "need"))
-    with EdgeTable(counted, walk_from) as walk, RoundTable(spark, "levels", ("ready",)) as progress:
-        fed = needs.select(F.col(walk_to).alias("id"))
-        roots = nodes.select("id").union(endpoints(pairs)).distinct().join(fed, "id", "left_anti")
+    needs = pairs.groupBy("target_id").agg(F.count(F.lit(1)).alias("need"))
+    counted = stored(pairs.join(needs, "target_id").select("source_id", "target_id", "need"))
+    with EdgeTable(counted, "source_id") as walk, RoundTable(spark, "levels", ("ready",)) as progress:
+        fed = counted.select(F.col("target_id").alias("id")).distinct()
+        roots = nodes.join(fed, "id", "left_anti")
         start = roots.select("id", F.lit(0).cast("bigint").alias("got"), F.lit(True).alias("ready"))
         ready = progress.append(start, 0)["n"]
         round_no = 0
@@ -65,7 +71,7 @@ def cyclic_components(edges: DataFrame) -> DataFrame:
     """
     pairs = edges.select("source_id", "target_id")
     loops = pairs.filter(F.col("source_id") == F.col("target_id")).select(F.col("source_id").alias("id")).distinct()
-    rest = _trimmed(checkpointed(pairs.filter(F.col("source_id") != F.col("target_id")).distinct()))
+    rest = _trimmed(stored(pairs.filter(F.col("source_id") != F.col("target_id")).distinct()))
     found: list[DataFrame] = []
     while not rest.isEmpty():
         labels = _labels(rest)
@@ -75,7 +81,7 @@ def cyclic_components(edges: DataFrame) -> DataFrame:
         source = undecided.select(F.col("id").alias("source_id"), F.struct("up", "down").alias("s"))
         target = undecided.select(F.col("id").alias("target_id"), F.struct("up", "down").alias("t"))
         alike = rest.join(source, "source_id").join(target, "target_id").filter(F.col("s") == F.col("t"))
-        rest = checkpointed(alike.select("source_id", "target_id"))
+        rest = stored(alike.select("source_id", "target_id"))
     if not found:
         return loops.select("id", F.col("id").alias("component"))
     parts = reduce(DataFrame.union, found)
@@ -94,7 +100,7 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 def _trimmed(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """Edges left after removing, again and again, nodes without inputs or without outputs."""
     spark = edges.sparkSession
-    degrees = checkpointed(
+    degrees = stored(
         _both_ways(edges)
         .groupBy(F.col("target_id").alias("id"))
         .agg(F.count_if("forward").alias("need_in"), F.count_if(~F.col("forward")).alias("need_out"))
@@ -138,7 +144,7 @@ def _trimmed(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
         removed = progress.result().filter("gone").select("id")
         left = edges.join(removed.withColumnRenamed("id", "source_id"), "source_id", "left_anti")
         left = left.join(removed.withColumnRenamed("id", "target_id"), "target_id", "left_anti")
-        return checkpointed(left.select("source_id", "target_id"))
+        return stored(left.select("source_id", "target_id"))
 
 
 def _labels(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
@@ -163,13 +169,13 @@ def _labels(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
             rows = better.select("id", F.least("up", "new_up").alias("up"), F.least("down", "new_down").alias("down"))
             round_no += 1
             changed = table.append(rows, round_no)["n"]
-        return checkpointed(table.result().groupBy("id").agg(F.min("up").alias("up"), F.min("down").alias("down")))
+        return stored(table.all().groupBy("id").agg(F.min("up").alias("up"), F.min("down").alias("down")))
 
 
 def topological_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(id, level, position)``, sources before targets. A cycle is an error that names its nodes."""
-    every = nodes.select("id").union(endpoints(edges)).distinct()
-    levels = checkpointed(reachable_levels(every, edges))
+    every = stored(all_nodes(nodes, edges))
+    levels = stored(_levels(every, edges))
     if levels.count() != every.count():
         some = cyclic_components(edges).orderBy("component", "id").limit(20).collect()
         raise ValueError(f"the graph has a cycle: {[(r.component, r.id) for r in some]}")

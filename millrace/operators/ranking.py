@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.session import checkpointed, shuffle_partitions
+from millrace.session import stored, shuffle_partitions
 
 
 def with_position(
@@ -27,8 +27,8 @@ def with_position(
     """
     spark = df.sparkSession
     partitions = partitions or shuffle_partitions(spark)
-    # Range bounds come from a sample, so the partitioning is fixed by a checkpoint before its use.
-    ranged = checkpointed(
+    # Range bounds come from a sample, so the partitioning is fixed by storing it before its use.
+    ranged = stored(
         df.repartitionByRange(partitions, *within, *order_by).withColumn("_range", F.spark_partition_id())
     )
     counts = ranged.groupBy("_range", *within).agg(F.count(F.lit(1)).alias("_n"))

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.session import checkpointed
+from millrace.session import stored
 
 ROWS_PER_TASK = 5_000_000
 # The hot-key table is broadcast. Raising the limit for large inputs keeps it below this many rows.
@@ -30,7 +30,7 @@ def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER_T
     if not largest or largest <= limit:
         return None
     hot = counts.filter(F.col("n") > limit)
-    return checkpointed(hot.select(*keys, F.ceil(F.col("n") / limit).cast("int").alias("n_salts")))
+    return stored(hot.select(*keys, F.ceil(F.col("n") / limit).cast("int").alias("n_salts")))
 
 
 def add_salt(df: DataFrame, keys: Sequence[str], spread: Sequence[str], hot: DataFrame | None) -> DataFrame:

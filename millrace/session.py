@@ -40,7 +40,7 @@ def build_session(app_name: str = "millrace", master: str | None = None, **conf:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for checkpoints and intermediate tables.
+    """The shared folder for intermediate tables and stream checkpoints.
 
     A cluster names it in ``spark.checkpoint.dir``. Only a local session may go without: it gets a
     temporary folder of its own, which no other machine has to see.
@@ -53,8 +53,6 @@ def scratch_root(spark: SparkSession) -> str:
         root = _local_roots.get(sc.applicationId)
         if root is None:
             root = _local_roots[sc.applicationId] = tempfile.mkdtemp(prefix="millrace-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(root)
     return root.rstrip("/")
 
 
@@ -63,10 +61,15 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/millrace/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the reliable checkpoint folder; survives the loss of any executor."""
-    scratch_root(df.sparkSession)
-    return df.checkpoint()
+def stored(df: DataFrame, label: str = "stored") -> DataFrame:
+    """``df`` written to the shared scratch folder and read from there.
+
+    Like a checkpoint it ends the lineage and survives the loss of any executor. As a Parquet table
+    it also gives later steps its true size and only the columns they need.
+    """
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -107,6 +107,16 @@ def test_unknown_connection(spark):
         jdbc.Connections(spark, {"pg": {}}).execute_sql("nope", "SELECT 1")
 
 
+def test_options_reach_the_jdbc_reader(spark):
+    """Without a driver jar Spark stops at its class name, before any connection."""
+    options = jdbc.trino("nowhere.invalid", 443, "u", "p")
+    with pytest.raises(Exception, match="io.trino.jdbc.TrinoDriver"):
+        jdbc.Connections(spark, {"t": options}).execute_sql("t", "SELECT 1;")
+    with pytest.raises(Exception, match="org.postgresql.Driver"):
+        pg = jdbc.postgres("nowhere.invalid", 1, "d", "u", "p")
+        jdbc.Connections(spark, {"pg": pg}).scan("pg", "public.us500", ["1 = 1"])
+
+
 @pytest.mark.parametrize("bounds", [[], [5], [0, 3, 3, 9], jdbc.stride_bounds(-4, 14, 6)])
 def test_each_row_is_in_one_scan_partition(spark, bounds):
     df = spark.range(-20, 20).union(spark.sql("SELECT CAST(NULL AS BIGINT)")).withColumnRenamed("id", "k")
@@ -129,6 +139,23 @@ def test_fan_out_checks(spark):
         write_by_key(spark.createDataFrame([("a", 1), (None, 2)], "k string, v int"), "k", scratch_dir(spark, "f"))
 
 
+def test_a_key_with_most_of_the_data_is_written_by_several_tasks(spark):
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "64kb")
+    try:
+        key = F.when(F.col("id") % 10 > 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50))
+        df = spark.range(60_000, numPartitions=6).select(key.alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("v"))
+        path = write_by_key(df, "k", scratch_dir(spark, "hot"))
+    finally:
+        spark.conf.set(name, before)
+    named = spark.read.parquet(path).select("k", F.input_file_name().alias("file")).distinct()
+    files_of = {r.k: r["count"] for r in named.groupBy("k").count().collect()}
+    # Keys that share the hot key's shuffle partition are split with it; no key has more files.
+    assert files_of["hot"] == max(files_of.values()) > 4 and len(files_of) == 6
+    assert spark.read.parquet(path).count() == 60_000
+
+
 def test_fan_out_is_done_once(spark):
     path = scratch_dir(spark, "fan")
 

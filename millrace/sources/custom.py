@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import (
     DataSource,
@@ -21,22 +22,13 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-OpenFile = Callable[[object, int], Iterator[pa.RecordBatch]]
-SaveFile = Callable[[Iterator[pa.RecordBatch], object], None]
-
-
-class FilePiece(InputPartition):
-    """One piece of one file. A format that cannot be read in pieces has one piece per file."""
-
-    def __init__(self, path: str, piece: int):
-        super().__init__(path)
-        self.path = path
-        self.piece = piece
+import millrace
 
+# The functions of this package travel to the workers whole, so it need not be installed there.
+cloudpickle.register_pickle_by_value(millrace)
 
-class Saved(WriterCommitMessage):
-    def __init__(self, path: str | None):
-        self.path = path
+OpenFile = Callable[[object, int], Iterator[pa.RecordBatch]]
+SaveFile = Callable[[Iterator[pa.RecordBatch], object], None]
 
 
 def filesystem(path: str):
@@ -48,6 +40,12 @@ def _unimplemented(*_):
     raise NotImplementedError("this custom format has no function for that direction")
 
 
+def _saved(path: str | None) -> WriterCommitMessage:
+    message = WriterCommitMessage()
+    message.path = path
+    return message
+
+
 def _one_piece(_: object) -> int:
     return 1
 
@@ -82,18 +80,19 @@ def register_format(
                 if file.base_name.startswith(("_", ".")) or not file.path.endswith(suffix):
                     continue
                 if count_pieces is _one_piece:
-                    pieces.append(FilePiece(file.path, 0))
+                    pieces.append(InputPartition((file.path, 0)))
                     continue
                 with system.open_input_file(file.path) as stream:
-                    pieces += [FilePiece(file.path, i) for i in range(count_pieces(stream))]
+                    pieces += [InputPartition((file.path, i)) for i in range(count_pieces(stream))]
             return pieces
 
         def read(self, partition):
             if partition is None:  # an empty folder
                 return
+            path, piece = partition.value
             system, _ = filesystem(self.path)
-            with system.open_input_file(partition.path) as stream:
-                yield from open_file(stream, partition.piece)
+            with system.open_input_file(path) as stream:
+                yield from open_file(stream, piece)
 
     class Writer(DataSourceArrowWriter):
         def __init__(self, options, overwrite):
@@ -106,7 +105,7 @@ def register_format(
             system, root = filesystem(self.path)
             first = next(iterator, None)
             if first is None:
-                return Saved(None)
+                return _saved(None)
             # Hidden until the job commits; a retried task writes another file, never this one.
             path = f"{root}/.{self.job}-{uuid.uuid4().hex}{suffix}"
             system.create_dir(root, recursive=True)
@@ -117,7 +116,7 @@ def register_format(
 
             with system.open_output_stream(path) as stream:
                 save_file(batches(), stream)
-            return Saved(path)
+            return _saved(path)
 
         def commit(self, messages):
             system, root = filesystem(self.path)

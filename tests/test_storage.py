@@ -1,9 +1,15 @@
 import datetime as dt
+import subprocess
+import sys
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from millrace.operators import materialize as m
+from millrace.plans import storage
 from millrace.session import scratch_dir
 from millrace.sinks.files import write, write_by_key
 from millrace.sources import files, jdbc
@@ -224,3 +230,21 @@ def test_custom_format_without_functions(spark):
 
 def test_scratch_folder_is_the_configured_one(spark):
     assert scratch_dir(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_custom_functions_need_no_package_on_the_workers():
+    payload = cloudpickle.dumps((storage.save_feather, storage.open_parquet, storage.count_row_groups))
+    code = "import pickle, sys; print(len(pickle.load(sys.stdin.buffer)), 'millrace' in sys.modules)"
+    result = subprocess.run([sys.executable, "-I", "-c", code], input=payload, capture_output=True, timeout=60)
+    assert result.stdout.split() == [b"3", b"False"], result.stderr
+
+
+def test_custom_source_over_a_folder(spark, tmp_path):
+    for i in range(3):
+        pq.write_table(pa.table({"id": pa.array(range(i * 10, i * 10 + 10))}), tmp_path / f"{i}.pq", row_group_size=4)
+    (tmp_path / "_ignored.pq").write_text("")
+    (tmp_path / "other.txt").write_text("")
+    register_format(spark, "pieces", "id bigint", storage.open_parquet, count_pieces=storage.count_row_groups, suffix=".pq")
+    df = spark.read.format("pieces").load(str(tmp_path))
+    assert sorted(r.id for r in df.collect()) == list(range(30))
+    assert df.rdd.getNumPartitions() == 9

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from millrace.functions.text import is_rule_line
 
 # The layout of a log line.
-LINE_WIDTH = 80
-TEXT_WIDTH = 72  # nine tenths of the width, rounded up
+TEXT_WIDTH = 72  # nine tenths of a line of 80
 STATUS_LABELS = {
     "RUN": "[yellow]RUN[/yellow]",
     "DONE": "[green]DONE[/green]",

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm import neardup
+from millrace.llm import exact, mixing, neardup
 from millrace.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,3 +21,26 @@ def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 @_query
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op3_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.copies(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+# One half of the documents, by a hash of the id, is the snapshot, the other half the new batch.
+SNAPSHOT_HALF = "pmod(xxhash64(doc_id), 2) = 0"
+
+
+@_query
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact.duplicate_groups(read_table(spark, sf_dir, "documents"), F.expr(SNAPSHOT_HALF))
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+ORACLES["op4_exact_dedup"] = """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
+       sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
+"""

@@ -71,7 +71,7 @@ def difference(spark_df, con, sql):
 
 
 def main():
-    from millrace import plans
+    import __spark_entry__
     from millrace.session import build_session
 
     args = sys.argv[1:]
@@ -80,12 +80,13 @@ def main():
     spark = build_session("oracle-check", master="local[8]")
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
+    queries, oracles = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     bad = 0
-    for name in args or plans.QUERIES:
+    for name in args or queries:
         start = time.time()
         try:
-            df = plans.QUERIES[name](spark, sf_dir)
-            problem = difference(df, con, plans.ORACLES[name]) if name in plans.ORACLES else f"rows only: {df.count()}"
+            df = queries[name](spark, sf_dir)
+            problem = difference(df, con, oracles[name]) if name in oracles else f"rows only: {df.count()}"
         except Exception as err:  # report and go on with the next query
             problem = f"{type(err).__name__}: {str(err)[:1500]}"
         bad += problem is not None and not problem.startswith("rows only")

@@ -39,7 +39,7 @@ from millrace.llm.store import Scratch
 
 SKETCH_SIZE = 64
 SIGMAS = 6.0
-BLOCK = 256
+BLOCK = 512
 
 _SKETCH_SCHEMA = "doc_id long, n_shingles long, set_hi long, set_lo long, sketch array<long>"
 

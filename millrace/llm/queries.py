@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm import bpe, exact, mixing, neardup
-from millrace.session import read_table
+from millrace.llm import bpe, chat, exact, langid, mixing, neardup, permutation, warc, wordpiece
+from millrace.session import read_table, scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,3 +50,68 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 @_query
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@_query
+def op1_language_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    training = langid.in_training(F.col("doc_id"))
+    model = langid.learn(docs.filter(training))
+    found = langid.identified(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (~langid.in_training(F.col("doc_id"))).alias("held_out"), "lang_pred", "score")
+
+
+@_query
+def op6_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation.neighbours(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@_query
+def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_dir(spark, "warc")
+    warc.write(read_table(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path).drop("url")
+
+
+ORACLES["op7_warc_round_trip"] = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+     f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM f
+"""
+
+
+@_query
+def op8_word_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        vocabulary = wordpiece.vocabulary_of(file.read())
+    return wordpiece.token_counts(read_table(spark, sf_dir, "documents"), vocabulary)
+
+
+@_query
+def op9_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chat.rotations(read_table(spark, sf_dir, "conversations"))
+    spans = F.array_join(F.transform("masks", lambda m: F.concat_ws("-", m["start"].cast("string"), m["end"].cast("string"))), ",")
+    return found.select("conv_id", "speaker", "part", "n_turns", "text", spans.alias("masks"))
+
+
+ORACLES["op9_perspectives"] = """
+WITH t AS (
+  SELECT conv_id, replace(coalesce(role, 'unknown'), '<|', '< |') AS name, replace(coalesce(text, ''), '<|', '< |') AS said,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS FIRST, text NULLS FIRST) AS position
+  FROM conversations),
+s AS (SELECT DISTINCT conv_id, name AS speaker FROM t WHERE name <> 'system'),
+r AS (
+  SELECT s.conv_id, speaker, (position - 1) // 64 AS part, position, name = speaker AS own,
+         '<|im_start|>' || CASE WHEN name = speaker THEN 'assistant' WHEN name = 'system' THEN 'system' ELSE 'user name=' || name END || chr(10) AS head,
+         said || '<|im_end|>' AS body
+  FROM s JOIN t ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
+o AS (
+  SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, speaker, part ORDER BY position
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at
+  FROM r)
+SELECT conv_id, speaker, part::INTEGER AS part, count(*)::INTEGER AS n_turns, string_agg(head || body || chr(10), '' ORDER BY position) AS text,
+       coalesce(string_agg(CASE WHEN own THEN (at + length(head)) || '-' || (at + length(head) + length(body)) END, ',' ORDER BY position), '') AS masks
+FROM o GROUP BY ALL
+"""

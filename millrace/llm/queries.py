@@ -109,9 +109,9 @@ r AS (
   FROM s JOIN t ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
 o AS (
   SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, speaker, part ORDER BY position
-            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
   FROM r)
 SELECT conv_id, speaker, part::INTEGER AS part, count(*)::INTEGER AS n_turns, string_agg(head || body || chr(10), '' ORDER BY position) AS text,
-       coalesce(string_agg(CASE WHEN own THEN (at + length(head)) || '-' || (at + length(head) + length(body)) END, ',' ORDER BY position), '') AS masks
+       coalesce(string_agg(CASE WHEN own THEN (before + length(head)) || '-' || (before + length(head) + length(body)) END, ',' ORDER BY position), '') AS masks
 FROM o GROUP BY ALL
 """

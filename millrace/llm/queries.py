@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm import bpe, chat, exact, langid, mixing, neardup, permutation, warc, wordpiece
+from millrace.llm import bpe, chat, exact, langid, mixing, neardup, passages, permutation, warc, wordpiece
 from millrace.session import read_table, scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,8 @@ SELECT conv_id, speaker, part::INTEGER AS part, count(*)::INTEGER AS n_turns, st
        coalesce(string_agg(CASE WHEN own THEN (before + length(head)) || '-' || (before + length(head) + length(body)) END, ',' ORDER BY position), '') AS masks
 FROM o GROUP BY ALL
 """
+
+
+@_query
+def op10_chained_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(read_table(spark, sf_dir, "documents"))

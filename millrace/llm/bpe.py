@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 KNOWN_WORDS = 800_000
 LONGEST_KNOWN = 64
@@ -305,24 +306,24 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], names=[*rest, "token_ids"])
 
     made = docs.select(*rest, F.col("text").cast("string").alias("text"))
-    schema = made.drop("text").schema.add("token_ids", "array<int>")
+    schema = StructType([*made.drop("text").schema, StructField("token_ids", ArrayType(IntegerType()))])
     return made.mapInArrow(encode, schema)
 
 
-def decoded(rows: DataFrame, path: str) -> DataFrame:
-    """``rows`` with ``text`` in place of ``token_ids``; NULL ids decode to an empty text."""
+def with_decoded(rows: DataFrame, path: str) -> DataFrame:
+    """``rows`` with ``text`` decoded from their ``token_ids``; NULL ids decode to an empty text."""
     source = _source(rows.sparkSession, path)
-    rest = [c for c in rows.columns if c not in ("text", "token_ids")]
+    made = rows.drop("text")
+    names, at = made.columns, made.columns.index("token_ids")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(source.value)
         for whole in batches:
             for batch in _slices(whole):
-                texts = [codec.decode(ids or ()) for ids in batch.column(len(rest)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*rest, "text"])
+                texts = [codec.decode(ids or ()) for ids in batch.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*names, "text"])
 
-    made = rows.select(*rest, "token_ids")
-    return made.mapInArrow(decode, made.drop("token_ids").schema.add("text", "string"))
+    return made.mapInArrow(decode, StructType([*made.schema, StructField("text", StringType())]))
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.llm import fuse
-from millrace.llm.store import Scratch
+from millrace.llm.store import Scratch, fresh
 
 BUCKET_KEYS = 50_000
 
@@ -107,11 +107,12 @@ def duplicate_groups(docs: DataFrame, in_snapshot: Column, digest=sha256) -> Dat
 def without_duplicates(docs: DataFrame, in_snapshot: Column) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     found = duplicate_groups(docs, in_snapshot).filter("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
-    rows = docs.withColumn("_digest", sha256(F.coalesce("text", F.lit(""))))
-    same = rows["doc_id"].cast("long").eqNullSafe(found["_id"]) & (rows["_digest"] == found["_digest"])
+    name = fresh(docs, "digest")
+    rows = docs.withColumn(name, sha256(F.coalesce("text", F.lit(""))))
+    same = rows["doc_id"].cast("long").eqNullSafe(found["_id"]) & (rows[name] == found["_digest"])
     kept = rows.join(found.hint("shuffle_hash"), same, "left_semi")
     # Rows of equal id and text lie in one partition already; one of them stays.
-    twice = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
+    twice = docs.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1")
     if not twice.isEmpty():
-        kept = kept.dropDuplicates(["doc_id", "_digest"])
-    return kept.drop("_digest")
+        kept = kept.dropDuplicates(["doc_id", name])
+    return kept.drop(name)

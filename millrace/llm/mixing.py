@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from millrace.llm.store import Scratch
+from millrace.llm.store import Scratch, fresh
 from millrace.operators.ranking import with_position
 
 CHUNK_ROWS = 4096
@@ -151,13 +151,14 @@ def copies(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1
 
 def mixed(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, most: int = MOST_COPIES) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
-    taken = copies(docs, weights, share, most).groupBy("doc_id", "lot").agg(F.sum("copies").alias("_copies")).filter("_copies > 0")
-    taken = taken.select(F.col("doc_id").alias("_id"), F.col("lot").alias("_t"), "_copies")
-    rows = docs.withColumn("_lot", F.xxhash64("doc_id", "source", "text"))
-    twice = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
+    lot, times = fresh(docs, "lot"), fresh(docs, "times")
+    taken = copies(docs, weights, share, most).groupBy("doc_id", "lot").agg(F.sum("copies").alias(times)).filter(F.col(times) > 0)
+    taken = taken.select(F.col("doc_id").alias("_id"), F.col("lot").alias("_lot"), times)
+    rows = docs.withColumn(lot, F.xxhash64("doc_id", "source", "text"))
+    twice = docs.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1")
     if not twice.isEmpty():
         # Copies of equal rows are counted together, so one of these rows stands for all.
-        rows = rows.dropDuplicates(["doc_id", "_lot"])
-    same = rows["doc_id"].cast("long").eqNullSafe(taken["_id"]) & (rows["_lot"] == taken["_t"])
-    out = rows.join(taken.hint("shuffle_hash"), same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    return out.select(*docs.columns)
+        rows = rows.dropDuplicates(["doc_id", lot])
+    same = rows["doc_id"].cast("long").eqNullSafe(taken["_id"]) & (rows[lot] == taken["_lot"])
+    out = rows.join(taken.hint("shuffle_hash"), same)
+    return out.select(*(rows[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col(times).cast("int"))).alias(times)).select(docs.columns)

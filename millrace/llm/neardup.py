@@ -31,15 +31,15 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.llm.bytes_ import shingle_hashes, words
 from millrace.llm.components import components
-from millrace.llm.store import Scratch
+from millrace.llm.store import Scratch, fresh
 
 SKETCH_SIZE = 64
 SIGMAS = 6.0
-BLOCK = 512
+BLOCK = 512  # members of a list in one block; a list of m members is sent m / BLOCK times
 
 _SKETCH_SCHEMA = "doc_id long, n_shingles long, set_hi long, set_lo long, sketch array<long>"
 
@@ -313,11 +313,15 @@ def _component_links(lists: DataFrame, sets: DataFrame, test: Comparison, scratc
     return out
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, size: int = SKETCH_SIZE) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for each row of ``docs`` (``doc_id``, ``text``)."""
+def _own_id() -> Column:
+    """The doc_id, or without one a number beyond all ids that equal texts share."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND(_NO_ID - 1) + F.lit(_NO_ID))
+
+
+def _resolved(docs: DataFrame, shingle: int, percent: int, size: int) -> DataFrame:
+    """``own, n_shingles, component`` for each row of ``docs``."""
     scratch = Scratch(docs.sparkSession, "neardup")
-    own = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND(_NO_ID - 1) + F.lit(_NO_ID))
-    docs = docs.select(own.alias("doc_id"), "text")
+    docs = docs.select(_own_id().alias("doc_id"), F.col("text").cast("string").alias("text"))
     key = ["set_hi", "set_lo", "n_shingles"]
     sketched = scratch.write(sketches(docs, shingle, size), "sketches")
     named = sketched.filter("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch"))
@@ -330,9 +334,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, size:
     scratch.drop(lists, sets)
     named = classes.withColumnRenamed("n", "n_shingles").select(*key, "node").join(linked, "node", "left")
     out = rows.join(named.select(*key, F.coalesce("component", "node").alias("component")), key, "left")
-    out = out.withColumn("component", F.coalesce("component", "doc_id"))
+    return out.select(F.col("doc_id").alias("own"), "n_shingles", F.coalesce("component", "doc_id").alias("component"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, size: int = SKETCH_SIZE) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for each row of ``docs`` (``doc_id``, ``text``)."""
     known = lambda c: F.when(F.col(c) < _NO_ID, F.col(c))
-    return out.select(
-        known("doc_id").alias("doc_id"), "n_shingles", known("component").alias("component_id"),
-        (F.col("doc_id") == F.col("component")).alias("kept"),
+    return _resolved(docs, shingle, percent, size).select(
+        known("own").alias("doc_id"), "n_shingles", known("component").alias("component_id"), (F.col("own") == F.col("component")).alias("kept")
     )
+
+
+def without_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, size: int = SKETCH_SIZE) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: of each component the document with the smallest id."""
+    name = fresh(docs, "own")
+    stay = _resolved(docs, shingle, percent, size).filter("own = component").select(F.col("own").alias(name)).distinct()
+    return docs.withColumn(name, _own_id()).join(stay.hint("shuffle_hash"), name, "left_semi").select(docs.columns)

@@ -21,7 +21,7 @@ def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 
 @_query
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return neardup.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=4)
 
 
 @_query

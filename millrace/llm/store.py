@@ -1,4 +1,4 @@
-"""Intermediate tables in the shared folder, and numbers spread over the bits of a key."""
+"""Intermediate tables in the shared folder, and column names that are free."""
 
 from __future__ import annotations
 
@@ -31,3 +31,11 @@ class Scratch:
                 _, path = self.paths.pop(id(table))
                 place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
                 place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, longer where a column of ``df`` has it already."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -6,15 +6,13 @@ Plain files have no transactions: write the result to a new folder and let one w
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.skew import ROWS_PER_TASK, join_many_to_one
-
 # The legal states of a run and of a task run.
 RUN_STATUSES = ("PENDING", "RUNNING", "SUCCEEDED", "FAILED")
 TASK_RUN_STATUSES = (*RUN_STATUSES, "SKIPPED")
@@ -29,19 +27,43 @@ def latest_by(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> Da
     )
 
 
-def one_per_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row per key, the same one on every run: the greatest by its other columns."""
+def one_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str] | None = None) -> DataFrame:
+    """One row per key: the first by ``order_by``, or without it the same one on every run."""
     rest = [c for c in df.columns if c not in keys]
-    return latest_by(df, keys, rest) if rest else df.distinct()
+    if not rest:
+        return df.distinct()
+    if order_by:
+        pick = F.min_by(F.struct(*rest), F.struct(*order_by))
+    else:
+        # As text, since maps have no order.
+        pick = F.max_by(F.struct(*rest), F.to_json(F.struct(*rest)))
+    picked = df.groupBy(*keys).agg(pick.alias("_row"))
+    return picked.select(*(F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns))
+
 
+def _same(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> tuple[Column, DataFrame]:
+    """A null-safe join condition, and ``right`` with its key columns renamed."""
+    renamed = right.select(*(F.col(c).alias(f"_{c}") if c in columns else F.col(c) for c in right.columns))
+    return reduce(and_, (left[c].eqNullSafe(renamed[f"_{c}"]) for c in columns)), renamed
 
-def new_rows(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of ``incoming`` to append: one for each key that is not in the ledger yet."""
-    return one_per_key(incoming, keys).join(existing.select(*keys), list(keys), "left_anti").select(*incoming.columns)
 
+def _without(df: DataFrame, others: DataFrame, columns: Sequence[str]) -> DataFrame:
+    condition, renamed = _same(df, others.select(*columns).distinct(), columns)
+    return df.join(renamed, condition, "left_anti")
 
-def insert_if_absent(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return existing.unionByName(new_rows(existing, incoming, keys))
+
+def new_rows(
+    existing: DataFrame, incoming: DataFrame, keys: Sequence[str], order_by: Sequence[str] | None = None
+) -> DataFrame:
+    """Rows of ``incoming`` to append: one for each key that is not in the ledger yet. NULL keys match each other."""
+    return _without(one_per_key(incoming, keys, order_by), existing, keys).select(*incoming.columns)
+
+
+def insert_if_absent(
+    existing: DataFrame, incoming: DataFrame, keys: Sequence[str], order_by: Sequence[str] | None = None
+) -> DataFrame:
+    """Add the keys that are not there yet. Of several rows of a key the first by ``order_by`` is recorded."""
+    return existing.unionByName(new_rows(existing, incoming, keys, order_by))
 
 
 def key_conflicts(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -54,31 +76,85 @@ def key_conflicts(existing: DataFrame, incoming: DataFrame, keys: Sequence[str])
 
 def insert_unique(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Append ``incoming``; a key that exists already is an error."""
-    some = key_conflicts(existing, incoming, keys).limit(20).collect()
+    bad = key_conflicts(existing, incoming, keys)
+    some = bad.limit(20).collect()
     if some:
-        raise ValueError(f"keys are not unique: {[tuple(r) for r in some]}")
+        raise ValueError(f"{bad.count()} keys are not unique, among them: {[tuple(r) for r in some]}")
     return existing.unionByName(incoming)
 
 
-def soft_delete_upsert(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``(keys..., current)``: current is whether the key is still declared; unseen keys are added."""
-    known = existing.select(*keys).distinct().withColumn("_known", F.lit(True))
+def soft_delete_upsert(
+    existing: DataFrame, incoming: DataFrame, keys: Sequence[str], covered: DataFrame | None = None
+) -> DataFrame:
+    """``existing`` with ``current``: whether a key is still declared; undeclared keys stay, new ones are added.
+
+    ``covered`` holds the projects (or other key columns) that ``incoming`` speaks for, also those for which it
+    declares nothing any more. Rows of other projects stay as they are. Without it, those in ``incoming`` are covered.
+    Other columns of ``existing`` stay; an added row takes them from ``incoming``, or NULL.
+    """
+    covered = incoming.select(keys[0]) if covered is None else covered
+    scope = covered.columns
     declared = incoming.select(*keys).distinct().withColumn("_declared", F.lit(True))
-    joined = known.join(declared, list(keys), "full_outer")
-    return joined.select(*keys, F.col("_declared").isNotNull().alias("current"))
+    if "current" not in existing.columns:
+        existing = existing.withColumn("current", F.lit(True))
+    condition, renamed = _same(existing, covered.distinct().withColumn("_covered", F.lit(True)), scope)
+    marked = existing.join(renamed, condition, "left").select(*existing.columns, "_covered")
+    condition, renamed = _same(marked, declared, keys)
+    marked = marked.join(renamed, condition, "left")
+    current = F.when(F.col("_covered"), F.col("_declared").isNotNull()).otherwise(F.col("current")).alias("current")
+    known = marked.select(*(current if c == "current" else F.col(c) for c in existing.columns))
+    fresh = new_rows(existing, incoming, keys)
+    types = dict(existing.dtypes)
+    added = fresh.select(
+        *(
+            F.lit(True).alias(c) if c == "current" else F.col(c) if c in fresh.columns else F.lit(None).cast(types[c]).alias(c)
+            for c in existing.columns
+        )
+    )
+    return known.unionByName(added)
+
+
+def replace_by_key(
+    existing: DataFrame, replacement: DataFrame, keys: Sequence[str], covered: DataFrame | None = None
+) -> DataFrame:
+    """Drop all rows of the covered keys, then add the replacement's.
+
+    ``covered`` holds the keys to replace, also those that have no rows any more; without it, those in ``replacement``.
+    """
+    return _without(existing, replacement if covered is None else covered, keys).unionByName(replacement)
 
 
-def replace_by_key(existing: DataFrame, replacement: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Drop all rows of the keys that ``replacement`` covers, then add its rows."""
-    covered = replacement.select(*keys).distinct()
-    kept = existing.join(covered, list(keys), "left_anti").select(*existing.columns)
-    return kept.unionByName(replacement)
+def sync_projects(
+    recorded: Mapping[str, DataFrame], declared: Mapping[str, DataFrame], projects: DataFrame
+) -> dict[str, DataFrame]:
+    """``tasks``, ``refs`` and ``targets`` of a ledger after some projects were compiled again.
 
+    ``projects`` is ``(project_id)`` of these projects. Their tasks are switched on or off or added; their refs and
+    targets are replaced, by nothing where nothing is declared. Other projects stay as they are.
+    """
+    covered = projects.select("project_id").distinct()
+    return {
+        "tasks": soft_delete_upsert(recorded["tasks"], declared["tasks"], ["project_id", "task_id"], covered),
+        "refs": replace_by_key(recorded["refs"], declared["refs"], ["project_id"], covered),
+        "targets": replace_by_key(recorded["targets"], declared["targets"], ["project_id"], covered),
+    }
+
+
+def update_status(
+    existing: DataFrame, updates: DataFrame, keys: Sequence[str], order_by: Sequence[str] | None = None
+) -> DataFrame:
+    """The ledger with the status of each updated key replaced.
 
-def update_status(existing: DataFrame, updates: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The ledger with the status of each updated key replaced; ``updates`` has one row per key."""
-    fresh = updates.select(*keys, F.col("status").alias("_status"))
-    joined = existing.join(fresh, list(keys), "left")
+    Of several updates of a key the last by ``order_by`` counts; without it, different ones fail the job.
+    """
+    if order_by:
+        last = F.max_by("status", F.struct(*order_by))
+    else:
+        unclear = F.raise_error(F.lit("several states for one key and no order")).cast("string")
+        last = F.when(F.min("status").eqNullSafe(F.max("status")), F.max("status")).otherwise(unclear)
+    fresh = updates.groupBy(*keys).agg(last.alias("_status"))
+    condition, renamed = _same(existing, fresh, keys)
+    joined = existing.join(renamed, condition, "left")
     status = F.coalesce("_status", "status").alias("status")
     return joined.select(*(status if c == "status" else F.col(c) for c in existing.columns))
 
@@ -100,15 +176,25 @@ def status_violations(df: DataFrame, legal: Sequence[str] = TASK_RUN_STATUSES) -
     return df.filter(F.col("status").isNull() | ~F.col("status").isin(*legal))
 
 
-def navigate(
-    projects: DataFrame, runs: DataFrame, task_runs: DataFrame, rows_per_task: int = ROWS_PER_TASK
-) -> DataFrame:
-    """Task runs with their run and project. A run or project that holds very much is spread by salt.
+def navigate(projects: DataFrame, runs: DataFrame, task_runs: DataFrame) -> DataFrame:
+    """Task runs with their run and project.
 
-    Runs get their project first: they are far fewer than task runs.
+    Runs get their project first, as they are far fewer. A run that holds very much is a skewed
+    partition, which adaptive execution splits.
     """
-    placed = join_many_to_one(runs, projects, ["project_id"], spread=["run_slug"], rows_per_task=rows_per_task)
-    return join_many_to_one(task_runs, placed, ["run_slug"], spread=["task_id"], rows_per_task=rows_per_task)
+    shared = [c for c in ("project_id", "run_slug") if c in task_runs.columns]
+    return task_runs.join(runs.join(projects, "project_id"), shared)
+
+
+def of_project(projects: DataFrame, members: DataFrame) -> DataFrame:
+    """Tasks, refs, targets or runs with the columns of their project."""
+    return members.join(projects, "project_id")
+
+
+def of_task(tasks: DataFrame, task_runs: DataFrame, runs: DataFrame) -> DataFrame:
+    """Task runs with their task, found through the project of their run."""
+    placed = task_runs if "project_id" in task_runs.columns else task_runs.join(runs.select("run_slug", "project_id"), "run_slug")
+    return placed.join(tasks, ["project_id", "task_id"])
 
 
 def lookup(df: DataFrame, **equals) -> DataFrame:

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import is_rule_line
+from millrace.functions.text import is_rule_line, strip_ansi, strip_markup
+from millrace.operators.ranking import with_position
 
 # The layout of a log line.
 TEXT_WIDTH = 72  # nine tenths of a line of 80
@@ -20,7 +23,7 @@ STATUS_LABELS = {
 VERBS = {"RUN": "RUNNING", "DONE": "FINISHED", "ERROR": "ERROR IN", "SKIP": "SKIPPING"}
 COLOURS = "\x1b[^m]*m|\\[/?[a-z]+\\d*\\]"
 LINE_PATTERN = (
-    r"^(\d{2}:\d{2}:\d{2}) \| (?:(\d+) of (\d+) )?(RUNNING|FINISHED|ERROR IN|SKIPPING) TASK (.*?)"
+    r"^\[?(\d{2}:\d{2}:\d{2})\]? (?:[A-Z]+ +)?\| (?:(\d+) of (\d+) )?(RUNNING|FINISHED|ERROR IN|SKIPPING) TASK (.*?)"
     r"(?: \(RETRY \d+\))*?(?: \(RETRY (\d+)\))?\.* \[(RUN|DONE|ERROR|SKIP)(?: in (\d+\.\d+)s)?\]$"
 )
 LINE_FIELDS = ("clock", "position", "total", "verb", "task_id", "attempt", "status", "seconds")
@@ -47,11 +50,14 @@ def retry_name(task: Column, attempt: Column) -> Column:
 def log_line(
     clock: Column, position: Column, total: Column, task: Column, attempt: Column, status: Column, seconds: Column
 ) -> Column:
-    """One log line, padded with dots; a longer text is not cut. RUN and SKIP show no seconds."""
-    text = F.concat(
-        position, F.lit(" of "), total, F.lit(" "), _by_status(status, VERBS), F.lit(" TASK "), retry_name(task, attempt)
-    )
-    dots = F.repeat(F.lit("."), F.greatest(F.lit(0), F.lit(TEXT_WIDTH) - F.length(text)))
+    """One log line, padded with dots; a longer text is not cut. RUN and SKIP show no seconds.
+
+    Without a position or total the line has no "i of N". Colours in the task's name have no width.
+    """
+    number = F.coalesce(F.concat(position, F.lit(" of "), total, F.lit(" ")), F.lit(""))
+    text = F.concat(number, _by_status(status, VERBS), F.lit(" TASK "), retry_name(task, attempt))
+    shown = F.length(strip_markup(strip_ansi(text)))
+    dots = F.repeat(F.lit("."), F.greatest(F.lit(0), F.lit(TEXT_WIDTH) - shown))
     took = F.when(status.isin("DONE", "ERROR"), F.format_string(" in %.2fs", seconds)).otherwise("")
     return F.concat(F.date_format(clock, "HH:mm:ss"), F.lit(" | "), text, dots, F.lit(" ["), status, took, F.lit("]"))
 
@@ -109,17 +115,25 @@ def attempt_number(name: Column) -> Column:
 
 
 def task_durations(lines: DataFrame, keys: Sequence[str], at: str = "at") -> DataFrame:
-    """Start, end and elapsed time per execution, from parsed lines; ``keys`` name one execution.
+    """Start, end and elapsed time of each execution, from parsed lines; ``keys`` are what the lines tell of a task.
 
-    An execution that never ended has NULL end, status and elapsed time.
+    A key may be executed several times: lines are numbered by time within their key, and a start ends with the
+    line that follows it, if that is an end. An execution without one has NULL end, outcome and elapsed time; an end
+    without a start, as a skipped task has, has a NULL start. At one time, ends go first. Numbers come from
+    range partitions and pairs are joined by key and number, so a key may have any number of lines.
     """
-    starts = F.col("status") == "RUN"
-    paired = lines.filter(F.col("status").isNotNull()).groupBy(*keys).agg(
-        F.min(F.when(starts, F.col(at))).alias("started"),
-        F.max(F.when(~starts, F.col(at))).alias("ended"),
-        F.max_by(F.when(~starts, F.col("status")), F.when(~starts, F.col(at))).alias("outcome"),
+    used = lines.filter(F.col("status").isNotNull()).select(*keys, F.col(at).alias("_at"), "status", (F.col("status") == "RUN").alias("_starts"))
+    numbered = with_position(used, ["_at", "_starts", "status"], within=keys, position="_n")
+    starts = numbered.filter("_starts").select(*keys, F.col("_at").alias("started"), F.col("_n"))
+    ends = numbered.filter("not _starts").select(
+        *(F.col(k).alias(f"_{k}") for k in keys), F.col("_at").alias("ended"), F.col("status").alias("outcome"), (F.col("_n") - 1).alias("_after")
+    )
+    same = reduce(and_, (starts[k].eqNullSafe(ends[f"_{k}"]) for k in keys)) & (starts["_n"] == ends["_after"])
+    paired = starts.join(ends, same, "full_outer")
+    found = paired.select(
+        *(F.when(F.col("_n").isNotNull(), F.col(k)).otherwise(F.col(f"_{k}")).alias(k) for k in keys), "started", "ended", "outcome"
     )
-    return paired.withColumn("elapsed_micros", F.timestamp_diff("MICROSECOND", "started", "ended"))
+    return found.withColumn("elapsed_micros", F.timestamp_diff("MICROSECOND", "started", "ended"))
 
 
 def retry_summary(executions: DataFrame, keys: Sequence[str], retries: int) -> DataFrame:

@@ -50,19 +50,67 @@ def key_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered(
     "soft_delete_upsert",
     """
-    WITH e AS (SELECT DISTINCT 'cust-' || o_custkey AS project_id, o_orderpriority AS task_id
-               FROM orders WHERE o_orderdate < TIMESTAMP '2000-01-01'),
-    i AS (SELECT DISTINCT 'cust-' || o_custkey AS project_id, o_orderpriority AS task_id
-          FROM orders WHERE o_orderdate >= TIMESTAMP '2000-01-01')
-    SELECT project_id, task_id, i.here IS NOT NULL AS current
-    FROM e FULL JOIN (SELECT *, 1 AS here FROM i) i USING (project_id, task_id)
+    WITH o AS (SELECT DISTINCT 'cust-' || o_custkey AS project_id, o_orderpriority AS task_id,
+                      o_orderdate < TIMESTAMP '2000-01-01' AS early FROM orders),
+    e AS (SELECT project_id, task_id FROM o WHERE early), i AS (SELECT project_id, task_id FROM o WHERE NOT early)
+    SELECT project_id, task_id, e.project_id NOT IN (SELECT project_id FROM i) OR (project_id, task_id) IN (SELECT project_id, task_id FROM i) AS current
+    FROM e
+    UNION ALL SELECT project_id, task_id, true FROM i ANTI JOIN e USING (project_id, task_id)
     """,
 )
 def soft_delete_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    existing, incoming = order_halves(spark, sf_dir)
+    """Tasks of the projects that come in are switched on or off; other projects stay as they were."""
+    existing, incoming = (df.select("project_id", "task_id").distinct() for df in order_halves(spark, sf_dir))
     return ledger.soft_delete_upsert(existing, incoming, ["project_id", "task_id"])
 
 
+SYNC_SQL = """
+    o AS (SELECT 'cust-' || o_custkey AS project_id, o_orderpriority AS task_id, 'out/' || o_orderkey AS loc,
+                 o_orderdate < TIMESTAMP '2000-01-01' AS early FROM orders),
+    projects AS (SELECT 'cust-' || c_custkey AS project_id FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')),
+    new AS (SELECT * FROM o WHERE NOT early AND project_id IN (SELECT project_id FROM projects)),
+    old AS (SELECT * FROM o WHERE early),
+    new_tasks AS (SELECT DISTINCT project_id, task_id FROM new), old_tasks AS (SELECT DISTINCT project_id, task_id FROM old),
+    new_refs AS (SELECT DISTINCT project_id, task_id, substr(loc, 1, 5) AS loc FROM new),
+    old_refs AS (SELECT DISTINCT project_id, task_id, substr(loc, 1, 5) AS loc FROM old)
+"""
+
+
+@registered(
+    "project_sync",
+    f"""
+    WITH {SYNC_SQL}
+    SELECT 'task' AS kind, project_id, task_id, NULL AS loc, project_id NOT IN (SELECT project_id FROM projects)
+           OR (project_id, task_id) IN (SELECT project_id, task_id FROM new_tasks) AS current
+    FROM old_tasks
+    UNION ALL SELECT 'task', project_id, task_id, NULL, true FROM new_tasks ANTI JOIN old_tasks USING (project_id, task_id)
+    UNION ALL SELECT 'ref', project_id, task_id, loc, NULL FROM old_refs WHERE project_id NOT IN (SELECT project_id FROM projects)
+    UNION ALL SELECT 'ref', project_id, task_id, loc, NULL FROM new_refs
+    UNION ALL SELECT 'target', project_id, task_id, loc, NULL FROM old WHERE project_id NOT IN (SELECT project_id FROM projects)
+    UNION ALL SELECT 'target', project_id, task_id, loc, NULL FROM new
+    """,
+)
+def project_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks, refs and targets after the customers of two segments were compiled again; some declare nothing any more."""
+    old, late = order_halves(spark, sf_dir)
+    customers = read_table(spark, sf_dir, "customer").filter("c_mktsegment in ('BUILDING', 'MACHINERY')")
+    projects = customers.select(F.concat(F.lit("cust-"), F.col("c_custkey")).alias("project_id"))
+    new = late.join(projects, "project_id", "left_semi")
+
+    def tables(rows: DataFrame) -> dict[str, DataFrame]:
+        refs = rows.select("project_id", "task_id", F.substring("loc", 1, 5).alias("loc")).distinct()
+        return {"tasks": rows.select("project_id", "task_id").distinct(), "refs": refs, "targets": rows}
+
+    made = ledger.sync_projects(tables(old), tables(new), projects)
+    none = F.lit(None)
+    tasks = made["tasks"].select(F.lit("task").alias("kind"), "project_id", "task_id", none.cast("string").alias("loc"), "current")
+    rest = [
+        made[name].select(F.lit(kind).alias("kind"), "project_id", "task_id", "loc", none.cast("boolean").alias("current"))
+        for name, kind in (("refs", "ref"), ("targets", "target"))
+    ]
+    return tasks.union(rest[0]).union(rest[1])
+
+
 def order_halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Tasks and target places per project, from the orders of each customer before and since 2000."""
     orders = read_table(spark, sf_dir, "orders")
@@ -147,19 +195,36 @@ def status_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     "ledger_join",
     f"""
     WITH {inputs.LEDGER_SQL},
-    runs AS (SELECT run_slug, min(project_id) AS project_id, min(ts) AS run_date FROM ledger GROUP BY run_slug),
+    runs AS (SELECT project_id, run_slug, min(ts) AS run_date FROM ledger GROUP BY project_id, run_slug),
     projects AS (SELECT DISTINCT project_id, '/work/' || project_id AS local_path FROM ledger),
-    task_runs AS (SELECT run_slug, task_id, arg_max(status, (ts, event_id)) AS status FROM ledger GROUP BY run_slug, task_id)
-    SELECT project_id, run_slug, task_id, status, run_date, local_path
-    FROM task_runs JOIN runs USING (run_slug) JOIN projects USING (project_id)
+    task_runs AS (SELECT project_id, run_slug, task_id, arg_max(status, (ts, event_id)) AS status FROM ledger GROUP BY project_id, run_slug, task_id),
+    tasks AS (SELECT DISTINCT project_id, task_id, 'tasks/' || task_id AS module FROM ledger),
+    refs AS (SELECT DISTINCT project_id, task_id, 'task-0' AS source_id FROM ledger WHERE task_id <> 'task-0'),
+    targets AS (SELECT DISTINCT project_id, task_id, '/out/' || task_id AS loc FROM ledger),
+    n AS (SELECT project_id, count(*) AS refs FROM refs JOIN projects USING (project_id) GROUP BY project_id),
+    m AS (SELECT project_id, count(*) AS targets FROM targets JOIN projects USING (project_id) GROUP BY project_id),
+    k AS (SELECT project_id, count(*) AS tasks FROM tasks JOIN projects USING (project_id) GROUP BY project_id)
+    SELECT project_id, run_slug, task_id, status, run_date, local_path, module, refs, targets, tasks
+    FROM task_runs JOIN runs USING (project_id, run_slug) JOIN projects USING (project_id) JOIN tasks USING (project_id, task_id)
+         JOIN n USING (project_id) JOIN m USING (project_id) JOIN k USING (project_id)
     """,
 )
 def ledger_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Task runs with run, project and task, and what their project has: every path between the six tables."""
     changes = inputs.ledger(spark, sf_dir)
-    runs = changes.groupBy("run_slug").agg(F.min("project_id").alias("project_id"), F.min("ts").alias("run_date"))
-    projects = changes.select("project_id").distinct()
-    projects = projects.withColumn("local_path", F.concat(F.lit("/work/"), "project_id"))
-    return ledger.navigate(projects, runs, ledger.latest_status(changes, ["run_slug", "task_id"], ORDER))
+    runs = changes.groupBy("project_id", "run_slug").agg(F.min("ts").alias("run_date"))
+    projects = changes.select("project_id").distinct().withColumn("local_path", F.concat(F.lit("/work/"), "project_id"))
+    task_runs = ledger.latest_status(changes, KEYS, ORDER)
+    named = changes.select("project_id", "task_id").distinct()
+    members = {
+        "tasks": named.withColumn("module", F.concat(F.lit("tasks/"), "task_id")),
+        "refs": named.filter("task_id <> 'task-0'").withColumn("source_id", F.lit("task-0")),
+        "targets": named.withColumn("loc", F.concat(F.lit("/out/"), "task_id")),
+    }
+    placed = ledger.of_task(members["tasks"], ledger.navigate(projects, runs, task_runs), runs)
+    for name, rows in members.items():
+        placed = placed.join(ledger.of_project(projects, rows).groupBy("project_id").agg(F.count("*").alias(name)), "project_id")
+    return placed
 
 
 @registered(

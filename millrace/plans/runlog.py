@@ -78,9 +78,11 @@ def format_runlog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def parse_runlog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines with colours and section rules among them, parsed back into fields."""
+    """Lines in the form of files and of the console, with colours and section rules among them, parsed back."""
     lines = runlog.format_lines(inputs.log_records(spark, sf_dir)).select("event_id", "line")
-    coloured = F.regexp_replace("line", "TASK (task-[0-9]+)", "TASK [blue]$1[/blue]")
+    console = F.concat(F.lit("["), F.substring("line", 1, 8), F.lit("] INFO     "), F.expr("substring(line, 10)"))
+    form = F.when(F.col("event_id") % 2 == 0, console).otherwise(F.col("line"))
+    coloured = F.regexp_replace(form, "TASK (task-[0-9]+)", "TASK [blue]$1[/blue]")
     rule = F.concat(F.lit("[dim]"), F.repeat(F.lit("─"), 40), F.lit("[/dim]"))
     noisy = lines.select("event_id", F.explode(F.array(coloured, rule)).alias("line"))
     return runlog.parse_lines(noisy).drop("line")
@@ -89,16 +91,29 @@ def parse_runlog(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered(
     "task_durations",
     f"""
-    WITH {inputs.LOG_SQL}
-    SELECT event_id, run_slug, task_id, attempt, ts AS started,
-           ts + to_microseconds(CAST(round(seconds * 1000000) AS BIGINT)) AS ended, outcome,
-           CAST(round(seconds * 1000000) AS BIGINT) AS elapsed_micros
-    FROM log
+    WITH {inputs.LOG_SQL},
+    lines AS (
+        SELECT run_slug, task_id, attempt, ts AS "at", 'RUN' AS status FROM log
+        UNION ALL
+        SELECT run_slug, task_id, attempt, ts + to_microseconds(CAST(round(seconds * 1000000) AS BIGINT)), outcome FROM log
+    ),
+    near AS (
+        SELECT *, lead(status) OVER w AS next, lead("at") OVER w AS next_at, lag(status) OVER w AS last
+        FROM lines WINDOW w AS (PARTITION BY run_slug, task_id, attempt ORDER BY "at", status = 'RUN', status)
+    ),
+    executions AS (
+        SELECT run_slug, task_id, attempt, "at" AS started, CASE WHEN next <> 'RUN' THEN next_at END AS ended,
+               CASE WHEN next <> 'RUN' THEN next END AS outcome
+        FROM near WHERE status = 'RUN'
+        UNION ALL
+        SELECT run_slug, task_id, attempt, NULL, "at", status FROM near WHERE status <> 'RUN' AND last IS DISTINCT FROM 'RUN'
+    )
+    SELECT *, CAST(epoch_us(ended) - epoch_us(started) AS BIGINT) AS elapsed_micros FROM executions
     """,
 )
 def task_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = runlog.parse_lines(runlog.format_lines(inputs.log_records(spark, sf_dir)))
-    return runlog.task_durations(lines, ["event_id", "run_slug", "task_id", "attempt"])
+    return runlog.task_durations(lines, ["run_slug", "task_id", "attempt"])
 
 
 @registered("attempt_number", f"WITH {inputs.LOG_SQL} SELECT event_id, task_id, attempt FROM log")

@@ -48,6 +48,44 @@ def test_replace_and_update(spark):
     assert got.columns == have.columns
 
 
+def test_first_recorded_row_wins_also_with_maps_and_null_keys(spark):
+    schema = "project_id string, at int, ctx map<string,string>"
+    have = spark.createDataFrame([(None, 0, {"a": "1"})], schema)
+    come = spark.createDataFrame([("p", 2, {"x": "late"}), ("p", 1, {"x": "first"}), (None, 5, {})], schema)
+    got = ledger.insert_if_absent(have, come, ["project_id"], order_by=["at"])
+    assert {(r.project_id, r.at) for r in got.collect()} == {(None, 0), ("p", 1)} and got.count() == 2
+    assert ledger.insert_if_absent(got, come, ["project_id"]).count() == 2
+    assert ledger.insert_if_absent(have, come, ["project_id"]).count() == 2
+
+
+def test_other_projects_are_left_alone(spark):
+    schema = "project_id string, task_id string, owner string, current boolean"
+    have = spark.createDataFrame([("p", "a", "me", True), ("p", "b", "me", True), ("q", "b", "you", True), ("q", "c", "you", False), ("r", "d", None, True)], schema)
+    come = spark.createDataFrame([("p", "a"), ("p", "n")], "project_id string, task_id string")
+    covered = spark.createDataFrame([("p",), ("r",)], "project_id string")
+    got = ledger.soft_delete_upsert(have, come, ["project_id", "task_id"], covered)
+    assert {tuple(r) for r in got.collect()} == {
+        ("p", "a", "me", True), ("p", "b", "me", False), ("p", "n", None, True), ("q", "b", "you", True), ("q", "c", "you", False), ("r", "d", None, False)
+    }
+    refs = spark.createDataFrame([("p", "a"), ("q", "b"), ("r", "c"), (None, "d")], "project_id string, ref string")
+    nothing = refs.limit(0)
+    assert rows(ledger.replace_by_key(refs, nothing, ["project_id"], covered).filter("project_id is not null")) == [("q", "b")]
+    of_null = spark.createDataFrame([(None, "e")], "project_id string, ref string")
+    assert rows(ledger.replace_by_key(refs, of_null, ["project_id"]).filter("project_id is null")) == [(None, "e")]
+    new = ledger.sync_projects({"tasks": have, "refs": refs, "targets": refs}, {"tasks": come, "refs": nothing, "targets": nothing}, covered)
+    assert new["tasks"].count() == 6 and new["refs"].count() == new["targets"].count() == 2
+
+
+def test_repeated_updates(spark):
+    have = spark.createDataFrame([("p", "a", "PENDING"), (None, "a", "PENDING")], LEDGER)
+    twice = spark.createDataFrame([("p", "a", "RUNNING", 1), ("p", "a", "FAILED", 2), (None, "a", "SKIPPED", 1)], LEDGER + ", n int")
+    got = ledger.update_status(have, twice, ["project_id", "task_id"], order_by=["n"])
+    assert {tuple(r) for r in got.collect()} == {("p", "a", "FAILED"), (None, "a", "SKIPPED")} and got.count() == 2
+    with pytest.raises(Exception, match="several states"):
+        ledger.update_status(have, twice, ["project_id", "task_id"]).collect()
+    assert ledger.update_status(have, twice.filter("n = 1"), ["project_id", "task_id"]).count() == 2
+
+
 def test_status_rules(spark):
     df = spark.createDataFrame(
         [(1, True, True, False, True), (2, False, False, False, False), (3, False, True, True, False),
@@ -68,7 +106,7 @@ def test_navigation_with_a_hot_run(spark):
     many = spark.range(300).select(
         F.when(F.col("id") < 200, "r1").otherwise("r2").alias("run_slug"), F.col("id").cast("string").alias("task_id")
     )
-    got = ledger.navigate(projects, runs, many, rows_per_task=20)
+    got = ledger.navigate(projects, runs, many)
     assert got.count() == 300 and got.filter("local_path = '/x'").count() == 200
     assert ledger.lookup(got, run_slug="r2", local_path="/y").count() == 100
     assert ledger.lookup(got).count() == 300
@@ -134,6 +172,34 @@ def test_durations_of_open_executions(spark):
     assert got == {"a": ("DONE", 2_500_000), "b": (None, None)}
 
 
+def test_repeated_executions_stay_apart(spark):
+    lines = spark.sql(
+        "SELECT * FROM VALUES ('a', 'RUN', TIMESTAMP '2024-01-01 10:00:00'), ('a', 'ERROR', TIMESTAMP '2024-01-01 10:00:05'),"
+        " ('a', 'RUN', TIMESTAMP '2024-01-01 12:00:00'), ('a', 'DONE', TIMESTAMP '2024-01-01 12:00:01'),"
+        " ('a', 'RUN', TIMESTAMP '2024-01-01 12:00:01'), ('b', 'SKIP', TIMESTAMP '2024-01-01 10:00:00') AS t(k, status, at)"
+    )
+    got = sorted((r.k, r.outcome or "", r.elapsed_micros or 0) for r in runlog.task_durations(lines, ["k"]).collect())
+    assert got == [("a", "", 0), ("a", "DONE", 1_000_000), ("a", "ERROR", 5_000_000), ("b", "SKIP", 0)]
+
+
+def test_console_lines_and_markup(spark):
+    lines = [
+        "[12:00:02] INFO     | 1 of 2 RUNNING TASK load.load................................................. [RUN]",
+        "[12:00:03] ERROR    | 1 of 2 ERROR IN TASK load.load........................ [ERROR in 0.02s]",
+        "[12:00:04] INFO     | RUNNING TASK x.................. [RUN]",
+    ]
+    got = [tuple(r)[1:] for r in runlog.parse_lines(spark.createDataFrame([(x,) for x in lines], "line string")).collect()]
+    assert got == [
+        ("12:00:02", 1, 2, "RUNNING", "load.load", 0, "RUN", None), ("12:00:03", 1, 2, "ERROR IN", "load.load", 0, "ERROR", 0.02),
+        ("12:00:04", None, None, "RUNNING", "x", 0, "RUN", None),
+    ]
+    at = F.lit("2024-01-01 23:59:58").cast("timestamp")
+    names = spark.createDataFrame([("[blue]t[/blue]",), ("\x1b[1;31mt\x1b[0m",)], "task string")
+    line = runlog.log_line(at, F.lit(None).cast("bigint"), F.lit(2), F.col("task"), F.lit(0), F.lit("RUN"), F.lit(None).cast("double"))
+    for r in names.select("task", line.alias("line")).collect():
+        assert r.line == f"23:59:58 | RUNNING TASK {r.task}" + "." * (72 - len("RUNNING TASK t")) + " [RUN]"
+
+
 def test_cleaning(spark):
     df = spark.createDataFrame([("[bold]a[/bold] [x1] [B] \x1b[1;31mred\x1b[0m",)], "s string")
     row = df.select(text.strip_markup(F.col("s")).alias("m"), text.strip_ansi(F.col("s")).alias("a")).first()

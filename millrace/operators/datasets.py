@@ -15,8 +15,8 @@ Outputs = DataFrame | Mapping[str, DataFrame]
 class Datasets:
     """Names for DataFrames. Nothing runs here: a reference is the plan of the published frame.
 
-    A published name is also a temporary view, so SQL can use it. A step with several outputs is
-    published as ``name.output`` for each of them.
+    SQL can use a published name. A step with several outputs is published as ``name.output`` for each of
+    them. Several registries may use the same names in one session: each one's SQL sees its own frames.
     """
 
     def __init__(self, spark: SparkSession, ctx: Mapping[str, Any] | None = None):
@@ -69,6 +69,11 @@ class Datasets:
         """Run SQL over published names, ``{frame}`` placeholders and ``:name`` parameters."""
         args = merged_parameters(self.ctx, params)
         used = {k: v for k, v in args.items() if f":{k}" in text}
+        # Views belong to the session, and another registry may have taken a name since. A plan is
+        # bound to its frames when it is made, so they only have to be right now.
+        for name, frame in self._frames.items():
+            if name.split(".")[0] in text:
+                frame.createOrReplaceTempView(f"`{name}`")
         return self.spark.sql(text, args=used or None, **frames)
 
     def param(self, key: str, default: Any = None) -> Any:

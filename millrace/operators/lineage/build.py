@@ -11,15 +11,16 @@ from millrace.operators.ranking import paged_lists, with_position
 # How a task source refers to another task, by position or by keyword.
 REF_CALL = r"\bCurrentRun\s*\.\s*ref\s*\("
 REF_ARGUMENT = REF_CALL + r"\s*(?:task_id\s*=\s*)?[\"']([^\"'\n]*)[\"']\s*,?\s*\)"
-COMMENT_LINE = r"(?m)^[ \t]*#.*$"
+# Blocks of text in three quotes and comments go, texts in one pair of quotes stay: whichever begins first.
+NO_CODE = r"""\"{3}(?s:.*?)\"{3}|'{3}(?s:.*?)'{3}|(\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+')|#[^\n]*+"""
 
 
 def ref_edges(sources: DataFrame, target: str = "id", text: str = "text") -> DataFrame:
     """``(source_id, target_id, place)`` for each reference in each task source, in code order.
 
-    Whole-line comments are ignored. A reference counts wherever it occurs in the task.
+    Comments and blocks of text in three quotes are ignored. A reference counts wherever else it occurs in the task.
     """
-    code = F.regexp_replace(text, COMMENT_LINE, "")
+    code = F.regexp_replace(text, NO_CODE, "$1")
     calls = F.regexp_extract_all(code, F.lit(REF_ARGUMENT), F.lit(1))
     found = sources.select(F.col(target).alias("target_id"), F.posexplode(calls).alias("place", "source_id"))
     return found.select("source_id", "target_id", "place")
@@ -27,7 +28,7 @@ def ref_edges(sources: DataFrame, target: str = "id", text: str = "text") -> Dat
 
 def unclear_refs(sources: DataFrame, target: str = "id", text: str = "text") -> DataFrame:
     """Tasks with reference calls whose argument is not one literal text: ``(id, n_calls, n_clear)``."""
-    code = F.regexp_replace(text, COMMENT_LINE, "")
+    code = F.regexp_replace(text, NO_CODE, "$1")
     counted = sources.select(
         F.col(target).alias("id"),
         F.regexp_count(code, F.lit(REF_CALL)).alias("n_calls"),

@@ -30,10 +30,10 @@ def unknown_seeds(nodes: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def require_none(violations: DataFrame, message: str, show: int = 20) -> None:
-    """Raise with the first few violations, if there are any."""
+    """Raise if there are any violations; the message has their number and the first few."""
     some = [row.asDict() for row in violations.limit(show).collect()]
     if some:
-        raise ValueError(f"{message}: {some}")
+        raise ValueError(f"{message} ({violations.count()}): {some}")
 
 
 def require_nodes(nodes: DataFrame) -> None:

@@ -8,10 +8,10 @@ from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import StructType
 from pyspark.storagelevel import StorageLevel
 
-from millrace.sinks.files import write, write_by_key
+from millrace.sinks.files import layout, write, write_by_key
 from millrace.sources import files
 
 Compute = Callable[[], DataFrame]
@@ -32,16 +32,18 @@ def is_complete(spark: SparkSession, path: str) -> bool:
 
 
 def read_back(spark: SparkSession, path: str, fmt: str = "parquet", schema=None, **options) -> DataFrame:
-    """Reopen a saved result. ``schema`` restores types that a text format does not keep.
+    """Reopen a saved result with the types it was saved with; ``schema`` chooses others.
 
     ``options`` are those it was written with. CSV does not tell an empty text from NULL, and both
-    come back as NULL, unless ``nullValue`` was given.
+    come back as NULL, unless ``nullValue`` was given. A file of CSV is split over tasks unless texts with line
+    breaks were saved in it; for files from elsewhere give ``multiLine`` where they have such texts.
     """
+    stored_layout = layout(spark, path) if fmt in ("csv", "json") else None
+    if stored_layout and schema is None:
+        schema = StructType.fromJson(stored_layout["schema"])
     if fmt == "csv":
-        # A quoted text may hold line breaks, so a file is then one task's work.
-        fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema
-        has_text = fields is None or any(isinstance(f.dataType, StringType) for f in fields)
-        return files.read_csv(spark, path, schema, **{"multiLine": has_text, **options})
+        breaks = bool(stored_layout and stored_layout["line_breaks"])
+        return files.read_csv(spark, path, schema, **{"multiLine": breaks, **options})
     if fmt == "json":
         return files.read_json(spark, path, schema, **options)
     if fmt == "text":
@@ -135,14 +137,16 @@ def without_saved(source: DataFrame, saved: DataFrame, keys: Sequence[str]) -> D
 
 
 def append_missing(source: DataFrame, path: str, keys: Sequence[str], fmt: str = "parquet") -> DataFrame:
-    """Append the rows of ``source`` whose keys the target does not hold yet; returns the target.
+    """Append one row for each key of ``source`` that the target does not hold yet; returns the target.
 
-    Of the target only the keys are read. Running it again after a failure adds nothing twice.
+    Of the target only the keys are read. Running it again adds nothing twice, whether or not the
+    target has a commit marker. Of several rows of a key any one is added.
     """
     spark = source.sparkSession
-    if is_complete(spark, path):
-        source = without_saved(source, read_back(spark, path, fmt, source.schema), keys)
-    write(source, path, fmt, mode="append")
+    fresh = source.dropDuplicates(list(keys))
+    if path_exists(spark, path):
+        fresh = without_saved(fresh, read_back(spark, path, fmt, source.schema), keys)
+    write(fresh, path, fmt, mode="append")
     return read_back(spark, path, fmt, source.schema)
 
 

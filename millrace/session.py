@@ -48,7 +48,8 @@ def scratch_root(spark: SparkSession) -> str:
     sc = spark.sparkContext
     root = spark.conf.get(CHECKPOINT_DIR, None)
     if not root:
-        if not sc.master.startswith("local"):
+        # One machine only: local-cluster has executors of its own.
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError(f"set {CHECKPOINT_DIR} to a folder that every executor can reach")
         root = _local_roots.get(sc.applicationId)
         if root is None:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, NumericType, StringType
 
@@ -17,10 +21,49 @@ def write(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifex
         raise ValueError(f"unknown format {fmt!r}; known: {', '.join(FORMATS)}")
     if fmt == "matrix":
         df, fmt = _matrix_lines(df), "text"
-    df.write.mode(mode).options(**{**_spelling(fmt), **options}).format(fmt).save(path)
+    if fmt not in ("csv", "json"):
+        df.write.mode(mode).options(**options).format(fmt).save(path)
+        return path
+    seen, texts = Observation(), [f.name for f in df.schema if isinstance(f.dataType, StringType)]
+    broken = reduce(or_, (F.coalesce(F.col(f"`{c}`").rlike("[\\r\\n]"), F.lit(False)) for c in texts), F.lit(False))
+    observed = df.observe(seen, F.coalesce(F.max(broken), F.lit(False)).alias("line_breaks"))
+    observed.write.mode(mode).options(**{**_spelling(fmt), **options}).format(fmt).save(path)
+    before = layout(df.sparkSession, path) if mode == "append" else None
+    breaks = seen.get["line_breaks"] or bool(before and before["line_breaks"])
+    _save_layout(df.sparkSession, path, {"schema": df.schema.jsonValue(), "line_breaks": breaks})
     return path
 
 
+# Readers pass over names with an underscore.
+LAYOUT = "_layout.json"
+
+
+def _layout_file(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/"), LAYOUT)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def _save_layout(spark: SparkSession, path: str, content: dict) -> None:
+    fs, place = _layout_file(spark, path)
+    out = fs.create(place, True)
+    try:
+        out.write(bytearray(json.dumps(content).encode("utf-8")))
+    finally:
+        out.close()
+
+
+def layout(spark: SparkSession, path: str) -> dict | None:
+    """Schema of a text format, and whether a text has line breaks, as stored beside the data by ``write``."""
+    fs, place = _layout_file(spark, path)
+    if not fs.exists(place):
+        return None
+    stream = fs.open(place)
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
 def _spelling(fmt: str) -> dict[str, str]:
     return {"csv": {**CSV_OPTIONS, **TIMESTAMP_OPTIONS}, "json": TIMESTAMP_OPTIONS}.get(fmt, {})
 

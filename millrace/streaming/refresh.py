@@ -11,9 +11,12 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from millrace.operators.ledger import latest_by
-from millrace.operators.materialize import path_exists, refresh_partitions
+from millrace.operators.materialize import is_complete, path_exists, refresh_partitions
+
+COMPACT_EVERY = 16
 
 
 def arriving_files(spark: SparkSession, path: str, schema, glob: str | None = None, **options) -> DataFrame:
@@ -37,35 +40,63 @@ def keep_latest(
 
     A batch rewrites only the partitions that its rows fall into. ``partition`` must depend on the
     key alone. With ``once`` the query ends when the files that are there have been handled.
+
+    A batch is first saved as a whole beside the table. If publishing it breaks off, the batch runs again,
+    finds what it saved, and publishes that: it never reads a table that is half replaced.
     """
 
-    def upsert(batch: DataFrame, _: int) -> None:
+    def upsert(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = batch
-        if path_exists(spark, path):
-            table = spark.read.schema(batch.schema).parquet(path).select(*batch.columns)
-            touched = batch.select(partition).distinct()
-            rows = table.join(touched, partition, "left_semi").select(*batch.columns).unionByName(batch)
-        refresh_partitions(latest_by(rows, keys, order_by), path, partition)
+        saved = f"{path.rstrip('/')}/_batches/{batch_id}"
+        if not is_complete(spark, saved):
+            rows = batch
+            if path_exists(spark, path):
+                table = spark.read.schema(batch.schema).parquet(path).select(*batch.columns)
+                touched = batch.select(partition).distinct()
+                rows = table.join(touched, partition, "left_semi").select(*batch.columns).unionByName(batch)
+            latest_by(rows, keys, order_by).write.mode("overwrite").parquet(saved)
+        refresh_partitions(spark.read.schema(batch.schema).parquet(saved), path, partition)
+        # This batch cannot run again once the next one begins.
+        _delete(spark, f"{path.rstrip('/')}/_batches/{batch_id - 1}")
 
     return _start(stream, checkpoint, "append", upsert, once)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def latest_status_changes(
     changes: DataFrame, path: str, checkpoint: str, keys: Sequence[str], order_by: Sequence[str], once: bool = True
 ) -> StreamingQuery:
-    """Keep the latest status per key as streaming state; each batch writes the keys that changed."""
+    """Keep the latest status per key as streaming state; each batch writes the keys that changed.
+
+    Every ``COMPACT_EVERY`` batches, the folders so far become one. What a batch leaves out when it breaks off,
+    it does again when it runs again; folders are deleted only when the one that replaces them is there.
+    """
     latest = changes.groupBy(*keys).agg(
         F.max_by("status", F.struct(*order_by)).alias("status"), F.max(F.struct(*order_by)).alias("as_of")
     )
 
     def add(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        if batch_id % COMPACT_EVERY == COMPACT_EVERY - 1:
+            before = spark.read.schema(StructType([*batch.schema, StructField("batch_id", LongType())])).option("basePath", path).parquet(path)
+            older = [r[0] for r in before.select("batch_id").distinct().collect() if r[0] < batch_id]
+            whole = f"{path}/_compacted"
+            latest_by(before, keys, ["batch_id"]).drop("batch_id").write.mode("overwrite").parquet(whole)
+            spark.read.schema(batch.schema).parquet(whole).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+            for folder in older:
+                _delete(spark, f"{path}/batch_id={folder}")
 
     return _start(latest, checkpoint, "update", add, once)
 
 
-def read_latest_changes(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
-    """The current state from the changes of all batches."""
+def read_latest_changes(spark: SparkSession, path: str, keys: Sequence[str], schema=None) -> DataFrame:
+    """The current state from the changes of all batches. With ``schema`` also before the first batch."""
+    if schema is not None and not path_exists(spark, path):
+        return spark.createDataFrame([], schema)
     changes = spark.read.option("basePath", path).parquet(path)
     return latest_by(changes, keys, ["batch_id"]).drop("batch_id", "as_of")

@@ -100,3 +100,13 @@ def test_text_functions(spark):
     assert (row.tail, row.short, row.slug) == ("sk 1!", "abc", "jane_van_doe.txt")
     assert tuple(row.deep) == ("a/b/c", "a/b", "c", 3)
     assert tuple(row.flat) == ("x", None, "x", 1)
+
+
+def test_registries_with_the_same_names(spark):
+    from millrace import Datasets
+
+    a, b = Datasets(spark), Datasets(spark)
+    a.publish("t", spark.range(1))
+    b.publish("t", spark.range(5))
+    assert a.sql("SELECT count(*) AS n FROM t").first().n == a.ref("t").count() == 1
+    assert b.sql("SELECT count(*) AS n FROM t").first().n == 5

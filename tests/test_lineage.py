@@ -259,3 +259,15 @@ def test_manifest(spark):
         ("targets", "d/", "b", "d/b.B"): '["/out/x"]',
         ("targets", "d/", "b", "d/b.C"): "[]",
     }
+
+
+def test_references_in_comments_and_blocks_are_no_edges(spark):
+    code = '''x = CurrentRun.ref("real")  # CurrentRun.ref("trailing")
+"""Docs: CurrentRun.ref("docs")
+"""
+# CurrentRun.ref("line")
+y = "# no comment", CurrentRun.ref('second')
+\'\'\'CurrentRun.ref("other")\'\'\'
+'''
+    got = build.ref_edges(spark.createDataFrame([("t", code)], "id string, text string")).orderBy("place").collect()
+    assert [r.source_id for r in got] == ["real", "second"]

@@ -248,3 +248,77 @@ def test_custom_source_over_a_folder(spark, tmp_path):
     df = spark.read.format("pieces").load(str(tmp_path))
     assert sorted(r.id for r in df.collect()) == list(range(30))
     assert df.rdd.getNumPartitions() == 9
+
+
+def test_second_read_has_the_types_of_the_first(spark, tmp_path):
+    df = spark.sql("SELECT 7L AS n, '007' AS code, TIMESTAMP_NTZ '2024-01-02 03:04:05.000006' AS at, 'a' AS z")
+    for fmt in ("csv", "json", "parquet", "orc"):
+        path = str(tmp_path / fmt)
+        first = m.read_or_compute(spark, path, lambda: df, fmt)
+        second = m.read_or_compute(spark, path, None, fmt)
+        assert first.schema == second.schema and first.collect() == second.collect() == df.collect(), fmt
+
+
+def test_line_breaks_in_csv_are_known_when_reading(spark, tmp_path):
+    plain, broken = str(tmp_path / "plain"), str(tmp_path / "broken")
+    m.materialize(spark.createDataFrame([("a",)], "s string"), plain, "csv")
+    df = spark.createDataFrame([("a\nb",), ("c",)], "s string")
+    m.materialize(df, broken, "csv")
+    assert sorted(r.s for r in m.read_back(spark, broken, "csv").collect()) == ["a\nb", "c"]
+    from millrace.sinks.files import layout
+
+    assert layout(spark, broken)["line_breaks"] and not layout(spark, plain)["line_breaks"]
+    m.append_missing(spark.createDataFrame([("x",)], "s string"), broken, ["s"], "csv")
+    assert m.read_back(spark, broken, "csv").count() == 3
+
+
+def test_appending_without_a_marker(spark, tmp_path):
+    path = str(tmp_path / "t")
+    source = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c")], "k int, v string")
+    assert m.append_missing(source, path, ["k"]).count() == 2
+    (tmp_path / "t/_SUCCESS").unlink()
+    assert m.append_missing(source, path, ["k"]).count() == 2
+
+
+def test_a_batch_that_broke_off_is_published_again(spark, tmp_path, monkeypatch):
+    from millrace.streaming import refresh
+
+    landing, table, checkpoint = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    schema = "k string, p string, n int"
+
+    def run():
+        stream = refresh.arriving_files(spark, f"{landing}/load=*", schema)
+        refresh.keep_latest(stream, table, checkpoint, ["k"], ["n"], "p").awaitTermination()
+
+    spark.createDataFrame([("a", "x", 1), ("b", "x", 1), ("c", "y", 1)], schema).coalesce(1).write.parquet(f"{landing}/load=0")
+    run()
+    spark.createDataFrame([("a", "x", 2)], schema).coalesce(1).write.parquet(f"{landing}/load=1")
+    whole = refresh.refresh_partitions
+
+    def broken(*args):
+        for part in (tmp_path / "out/p=x").iterdir():  # as a commit that stops between delete and rename
+            part.unlink()
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(refresh, "refresh_partitions", broken)
+    with pytest.raises(Exception, match="lost"):
+        run()
+    monkeypatch.setattr(refresh, "refresh_partitions", whole)
+    run()
+    assert sorted(tuple(r) for r in spark.read.schema(schema).parquet(table).select("k", "n").collect()) == [("a", 2), ("b", 1), ("c", 1)]
+
+
+def test_changes_are_compacted(spark, tmp_path, monkeypatch):
+    from millrace.streaming import refresh
+
+    monkeypatch.setattr(refresh, "COMPACT_EVERY", 2)
+    landing, changes, checkpoint = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    schema = "k string, n int, status string"
+    for i in range(5):
+        spark.createDataFrame([("a", i, f"s{i}"), (f"b{i}", i, "x")], schema).coalesce(1).write.parquet(f"{landing}/load={i}")
+        stream = refresh.arriving_files(spark, f"{landing}/load=*", schema)
+        refresh.latest_status_changes(stream, changes, checkpoint, ["k"], ["n"]).awaitTermination()
+    assert len(list((tmp_path / "out").glob("batch_id=*"))) == 2
+    got = {r.k: r.status for r in refresh.read_latest_changes(spark, changes, ["k"]).collect()}
+    assert got == {"a": "s4", **{f"b{i}": "x" for i in range(5)}}
+    assert refresh.read_latest_changes(spark, str(tmp_path / "none"), ["k"], "k string, status string").count() == 0

@@ -197,6 +197,11 @@ def of_task(tasks: DataFrame, task_runs: DataFrame, runs: DataFrame) -> DataFram
     return placed.join(tasks, ["project_id", "task_id"])
 
 
+def failed_tasks(task_runs: DataFrame, run_slug: str) -> DataFrame:
+    """``(id)`` of the tasks that failed in a run: what keeps the tasks behind them from running."""
+    return lookup(task_runs, run_slug=run_slug, status="FAILED").select(F.col("task_id").alias("id")).distinct()
+
+
 def lookup(df: DataFrame, **equals) -> DataFrame:
     """Rows in which every named column has the given value."""
     return df.filter(reduce(and_, (F.col(c).eqNullSafe(F.lit(v)) for c, v in equals.items()), F.lit(True)))

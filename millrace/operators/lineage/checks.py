@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.lineage.build import unclear_refs
+
 
 def duplicate_ids(tasks: DataFrame) -> DataFrame:
     """Ids declared more than once: ``(id, module, n_rows, n_modules)``, one row per module."""
@@ -41,9 +43,16 @@ def require_nodes(nodes: DataFrame) -> None:
         raise ValueError("the graph has no nodes")
 
 
-def check_graph(tasks: DataFrame, edges: DataFrame, seeds: DataFrame | None = None) -> None:
-    """All checks a selection needs before it is worth running. ``tasks`` has ``id`` and ``module``."""
+def check_graph(
+    tasks: DataFrame, edges: DataFrame, seeds: DataFrame | None = None, sources: DataFrame | None = None
+) -> None:
+    """All checks a selection needs before it is worth running.
+
+    ``tasks`` has ``id`` and ``module``; ``sources``, if given, ``id`` and ``text``, whose references must be literal.
+    """
     require_nodes(tasks)
+    if sources is not None:
+        require_none(unclear_refs(sources), "references that are not one literal text")
     require_none(duplicate_ids(tasks), "task ids must be unique")
     require_none(dangling_refs(tasks, edges), "references to unknown tasks")
     if seeds is not None:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.lineage.rounds import MAX_ROUNDS, EdgeTable, RoundTable, check_round
+from millrace.operators.lineage.rounds import EdgeTable, RoundTable, check_round
 from millrace.operators.ranking import with_position
 from millrace.session import stored
 
@@ -21,7 +21,7 @@ def all_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").union(endpoints(edges)).distinct()
 
 
-def reachable_levels(nodes: DataFrame, edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def reachable_levels(nodes: DataFrame, edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """``(id, level)``: the longest path from a node without inputs, 0 for such a node itself.
 
     A node gets its level when the last of its inputs has one, so each edge is used once. Nodes on
@@ -30,7 +30,7 @@ def reachable_levels(nodes: DataFrame, edges: DataFrame, max_rounds: int = MAX_R
     return _levels(all_nodes(nodes, edges), edges, max_rounds)
 
 
-def _levels(nodes: DataFrame, edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def _levels(nodes: DataFrame, edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     spark = edges.sparkSession
     pairs = edges.select("source_id", "target_id").distinct()
     needs = pairs.groupBy("target_id").agg(F.count(F.lit(1)).alias("need"))
@@ -97,7 +97,7 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.withColumn("forward", F.lit(True)).unionByName(backward.withColumn("forward", F.lit(False)))
 
 
-def _trimmed(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def _trimmed(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """Edges left after removing, again and again, nodes without inputs or without outputs."""
     spark = edges.sparkSession
     degrees = stored(
@@ -147,7 +147,7 @@ def _trimmed(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
         return stored(left.select("source_id", "target_id"))
 
 
-def _labels(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def _labels(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """``(id, up, down)``: the smallest ids that reach a node and that it reaches, itself included."""
     spark = edges.sparkSession
     with EdgeTable(_both_ways(edges), "source_id") as walk, RoundTable(spark, "labels") as table:

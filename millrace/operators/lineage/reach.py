@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.lineage.rounds import MAX_ROUNDS, EdgeTable, RoundTable, check_round
+from millrace.operators.lineage.rounds import EdgeTable, RoundTable, check_round
 from millrace.operators.skew import ROWS_PER_TASK
 
 
@@ -13,7 +13,7 @@ def closure(
     edges: DataFrame,
     seeds: DataFrame,
     walk_from: str,
-    max_rounds: int = MAX_ROUNDS,
+    max_rounds: int | None = None,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Seeds and everything a walk reaches from them: ``(id, distance)``. Works on any graph.

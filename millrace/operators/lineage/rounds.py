@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 from millrace.operators.skew import ROWS_PER_TASK, add_salt, hot_keys, repeat_for_salts
 from millrace.session import scratch_dir, shuffle_partitions
 
-MAX_ROUNDS = 100_000
-
 
 class _Table:
     def __init__(self, spark: SparkSession, label: str):
@@ -114,7 +112,10 @@ class RoundTable(_Table):
         return self.spark.read.schema(self.schema).parquet(self.path)
 
 
-def check_round(round_no: int, limit: int) -> None:
-    """Too many rounds is an error; a result is never cut short."""
-    if round_no >= limit:
+def check_round(round_no: int, limit: int | None) -> None:
+    """A limit that a caller sets is an error when it is reached; a result is never cut short.
+
+    Without one a walk ends by itself: every round finds something new.
+    """
+    if limit is not None and round_no >= limit:
         raise RuntimeError(f"no end after {limit} rounds")

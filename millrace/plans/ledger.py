@@ -236,13 +236,21 @@ def ledger_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("event_id", "ts", "run_slug", "task_id")
 
 
+# An event stands for the run of the task of its number in the run of its user, whose failures are looked at.
+BLOCKED_RUN = "run-1"
+
+
 @registered(
     "blocked_by_failure",
     f"""
-    WITH RECURSIVE {inputs.DAG_SQL}, {inputs.SEEDS_SQL},
-    down(id) AS (SELECT id FROM seeds UNION SELECT target_id FROM down JOIN dag ON source_id = id)
-    SELECT id, 'NOT_RUN' AS status FROM down WHERE id NOT IN (SELECT id FROM seeds)
+    WITH RECURSIVE {inputs.DAG_SQL}, {inputs.LEDGER_SQL},
+    failed AS (SELECT event_id AS id FROM ledger WHERE run_slug = '{BLOCKED_RUN}' AND status = 'FAILED'),
+    down(id) AS (SELECT id FROM failed UNION SELECT target_id FROM down JOIN dag ON source_id = id)
+    SELECT id, 'NOT_RUN' AS status FROM down WHERE id NOT IN (SELECT id FROM failed)
     """,
 )
 def blocked_by_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reach.blocked_by_failure(inputs.dag_edges(spark, sf_dir), inputs.seed_nodes(spark, sf_dir))
+    """Tasks that do not run because of the failed task runs of one run in the ledger."""
+    changes = inputs.ledger(spark, sf_dir)
+    task_runs = ledger.latest_status(changes.withColumn("task_id", F.col("event_id")), ["run_slug", "task_id"], ORDER)
+    return reach.blocked_by_failure(inputs.dag_edges(spark, sf_dir), ledger.failed_tasks(task_runs, BLOCKED_RUN))

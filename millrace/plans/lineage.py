@@ -25,6 +25,21 @@ def ref_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("place", F.col("place").cast("bigint"))
 
 
+@registered(
+    "unclear_refs",
+    """
+    SELECT 'task-' || p_partkey AS id, 1 + (p_size % 2) AS n_calls, p_size % 2 AS n_clear FROM part WHERE p_type = 'SMALL'
+    """,
+)
+def unclear_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks of small parts call with two arguments or with a name; those of odd size also have a clear call."""
+    small = inputs.parts(spark, sf_dir)
+    odd = F.when(F.col("p_size") % 2 == 1, F.lit('CurrentRun.ref("task-0")\n')).otherwise("")
+    bad = F.when(F.col("p_type") != "SMALL", "").when(F.col("p_size") % 3 == 0, "CurrentRun.ref(name)\n").otherwise('CurrentRun.ref("task-0", "task-1")\n')
+    sources = small.select(F.concat(F.lit("task-"), "p_partkey").alias("id"), F.concat(odd, bad).alias("text"))
+    return build.unclear_refs(sources)
+
+
 @registered(
     "html_link_edges",
     """

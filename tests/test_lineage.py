@@ -271,3 +271,12 @@ y = "# no comment", CurrentRun.ref('second')
 '''
     got = build.ref_edges(spark.createDataFrame([("t", code)], "id string, text string")).orderBy("place").collect()
     assert [r.source_id for r in got] == ["real", "second"]
+
+
+def test_graph_checks_include_unclear_references(spark):
+    tasks = spark.createDataFrame([("a", "m"), ("b", "m")], "id string, module string")
+    edges = edges_of(spark, [("a", "b")])
+    clear = spark.createDataFrame([("b", 'CurrentRun.ref("a")')], "id string, text string")
+    checks.check_graph(tasks, edges, sources=clear)
+    with pytest.raises(ValueError, match="not one literal"):
+        checks.check_graph(tasks, edges, sources=spark.createDataFrame([("b", "CurrentRun.ref(a, b)")], "id string, text string"))

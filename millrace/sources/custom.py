@@ -7,8 +7,10 @@ tasks; files are reached through Arrow's filesystem layer, so paths may be on sh
 
 from __future__ import annotations
 
+import inspect
 import uuid
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyarrow import fs
@@ -21,19 +23,27 @@ from pyspark.sql.datasource import (
     InputPartition,
     WriterCommitMessage,
 )
+from pyspark.sql.types import StructType
 
 import millrace
 
 # The functions of this package travel to the workers whole, so it need not be installed there.
 cloudpickle.register_pickle_by_value(millrace)
 
-OpenFile = Callable[[object, int], Iterator[pa.RecordBatch]]
+OpenFile = Callable[..., Iterator[pa.RecordBatch]]
 SaveFile = Callable[[Iterator[pa.RecordBatch], object], None]
 
 
 def filesystem(path: str):
     """Arrow filesystem and path for a URI or a plain local path."""
-    return fs.FileSystem.from_uri(path) if ":" in path.split("/", 1)[0] else (fs.LocalFileSystem(), path)
+    uri = arrow_uri(path)
+    return fs.FileSystem.from_uri(uri) if ":" in uri.split("/", 1)[0] else (fs.LocalFileSystem(), uri)
+
+
+def arrow_uri(path: str) -> str:
+    """Clusters call S3 storage ``s3a`` or ``s3n``, Arrow calls it ``s3``."""
+    scheme, colon, rest = path.partition("://")
+    return f"s3://{rest}" if colon and scheme in ("s3a", "s3n") else path
 
 
 def _unimplemented(*_):
@@ -63,11 +73,25 @@ def register_format(
 
     ``open_file(stream, piece)`` yields the record batches of one piece of an open file;
     ``count_pieces(stream)`` says how many pieces a file has; ``save_file(batches, stream)`` writes.
+
+    The option ``columns`` names the columns to read, separated by commas: Spark does not tell a format written in
+    Python which ones a query uses. An ``open_file`` with a third parameter gets them as a list and
+    can leave the others unread; for one without, they are dropped afterwards.
     """
+    takes_columns = open_file is not _unimplemented and len(inspect.signature(open_file).parameters) > 2
+    declared = StructType.fromDDL(schema)
+
+    def chosen(options) -> list[str]:
+        wanted = [c.strip() for c in options.get("columns", "").split(",") if c.strip()]
+        missing = set(wanted) - set(declared.names)
+        if missing:
+            raise ValueError(f"no columns {sorted(missing)} in the format {name!r}")
+        return wanted or declared.names
 
     class Reader(DataSourceReader):
         def __init__(self, options):
             self.path = options["path"]
+            self.columns = chosen(options)
 
         def partitions(self):
             system, root = filesystem(self.path)
@@ -75,16 +99,18 @@ def register_format(
             if info.type == fs.FileType.NotFound:
                 raise FileNotFoundError(self.path)
             files = [info] if info.is_file else system.get_file_info(fs.FileSelector(root, recursive=True))
-            pieces = []
-            for file in sorted((f for f in files if f.is_file), key=lambda f: f.path):
-                if file.base_name.startswith(("_", ".")) or not file.path.endswith(suffix):
-                    continue
-                if count_pieces is _one_piece:
-                    pieces.append(InputPartition((file.path, 0)))
-                    continue
-                with system.open_input_file(file.path) as stream:
-                    pieces += [InputPartition((file.path, i)) for i in range(count_pieces(stream))]
-            return pieces
+            shown = (f for f in files if f.is_file and not f.base_name.startswith(("_", ".")) and f.path.endswith(suffix))
+            paths = sorted(f.path for f in shown)
+            if count_pieces is _one_piece:
+                return [InputPartition((path, 0)) for path in paths]
+
+            def pieces(path):
+                with system.open_input_file(path) as stream:
+                    return [InputPartition((path, i)) for i in range(count_pieces(stream))]
+
+            # Opening a file is mostly waiting for the storage.
+            with ThreadPoolExecutor(32) as pool:
+                return [piece for found in pool.map(pieces, paths) for piece in found]
 
         def read(self, partition):
             if partition is None:  # an empty folder
@@ -92,7 +118,11 @@ def register_format(
             path, piece = partition.value
             system, _ = filesystem(self.path)
             with system.open_input_file(path) as stream:
-                yield from open_file(stream, piece)
+                if takes_columns:
+                    yield from open_file(stream, piece, self.columns)
+                else:
+                    for batch in open_file(stream, piece):
+                        yield batch.select(self.columns)
 
     class Writer(DataSourceArrowWriter):
         def __init__(self, options, overwrite):
@@ -140,7 +170,7 @@ def register_format(
             return name
 
         def schema(self):
-            return schema
+            return StructType([declared[c] for c in chosen(self.options)])
 
         def reader(self, schema):
             return Reader(self.options)

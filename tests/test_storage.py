@@ -322,3 +322,21 @@ def test_changes_are_compacted(spark, tmp_path, monkeypatch):
     got = {r.k: r.status for r in refresh.read_latest_changes(spark, changes, ["k"]).collect()}
     assert got == {"a": "s4", **{f"b{i}": "x" for i in range(5)}}
     assert refresh.read_latest_changes(spark, str(tmp_path / "none"), ["k"], "k string, status string").count() == 0
+
+
+def test_custom_source_reads_the_columns_asked_for(spark):
+    from millrace.sources.custom import arrow_uri
+
+    df = spark.range(10).selectExpr("id", "id * 2 AS twice", "cast(id AS string) AS name")
+    schema = "id bigint, twice bigint, name string"
+    register_format(spark, "arrow_test", schema, storage.open_feather, storage.save_feather, storage.count_feather_batches, ".arrow")
+    register_format(spark, "arrow_whole", schema, lambda stream, piece: storage.open_feather(stream, piece, ["id", "twice", "name"]), count_pieces=storage.count_feather_batches, suffix=".arrow")
+    path = scratch_dir(spark, "arrow")
+    df.write.format("arrow_test").mode("append").save(path)
+    for name in ("arrow_test", "arrow_whole"):
+        got = spark.read.format(name).option("columns", "name, id").load(path)
+        assert got.columns == ["name", "id"] and sorted(got.collect()) == sorted(df.select("name", "id").collect())
+    assert spark.read.format("arrow_test").load(path).columns == df.columns
+    with pytest.raises(Exception, match="no columns"):
+        spark.read.format("arrow_test").option("columns", "x").load(path).collect()
+    assert arrow_uri("s3a://bucket/a") == "s3://bucket/a" and arrow_uri("/tmp/s3a://x") == "/tmp/s3a://x"

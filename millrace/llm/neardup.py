@@ -8,7 +8,7 @@ confirm every link. Linked documents form components.
 Completeness. The sketch of a small set is the whole set, so two linked sets share at least
 ``ceil(threshold * n)`` of its ``n`` values. Of the ``k`` smallest hashes of a union with similarity J,
 a binomial number with mean ``k * J`` lies in both sketches; ``SIGMAS`` standard deviations below the mean
-is the least overlap that counts (odds of about 1e-9 of missing a pair exactly at the threshold, and far
+is the least overlap that counts (odds of 2e-8 of missing a pair exactly at the threshold, and far
 less above it). A pair that shares ``t`` of ``k`` values shares one of the ``k - t + 1`` values that are
 rarest in the corpus, so only those are posted, and values of one document only are not posted at all.
 

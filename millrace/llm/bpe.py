@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 from hashlib import sha256
 from itertools import chain, islice
@@ -27,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-KNOWN_WORDS = 800_000
+KNOWN_WORDS = 400_000
 LONGEST_KNOWN = 64
 LONGEST_BATCHED = 256
 BATCH_CHARS = 1 << 20
@@ -293,21 +294,33 @@ def _slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
         yield batch.slice(low, rows)
 
 
-def encoded(docs: DataFrame, path: str) -> DataFrame:
-    """``docs`` with ``token_ids array<int>`` in place of ``text``; its other columns stay."""
+def encoded(docs: DataFrame, path: str, decode: bool = False) -> DataFrame:
+    """``docs`` with ``token_ids array<int>`` in place of ``text``; its other columns stay.
+
+    With ``decode`` also ``text``, decoded from the ids within the same task.
+    """
     source = _source(docs.sparkSession, path)
     rest = [c for c in docs.columns if c not in ("text", "token_ids")]
+    names = [*rest, "token_ids", *(["text"] if decode else [])]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(source.value)
         for whole in batches:
             for batch in _slices(whole):
-                ids = pa.array(list(codec.encode(_texts(batch.column(len(rest))))), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], names=[*rest, "token_ids"])
+                flat, ends, texts = array("i"), [0], []
+                for ids in codec.encode(_texts(batch.column(len(rest)))):
+                    flat.extend(ids)
+                    ends.append(len(flat))
+                    if decode:
+                        texts.append(codec.decode(ids))
+                values = pa.array(np.frombuffer(flat, np.int32) if flat else np.zeros(0, np.int32))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+                columns = [*batch.columns[:-1], lists, *([pa.array(texts, pa.string())] if decode else [])]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     made = docs.select(*rest, F.col("text").cast("string").alias("text"))
-    schema = StructType([*made.drop("text").schema, StructField("token_ids", ArrayType(IntegerType()))])
-    return made.mapInArrow(encode, schema)
+    fields = [*made.drop("text").schema, StructField("token_ids", ArrayType(IntegerType()))]
+    return made.mapInArrow(encode, StructType([*fields, *([StructField("text", StringType())] if decode else [])]))
 
 
 def with_decoded(rows: DataFrame, path: str) -> DataFrame:

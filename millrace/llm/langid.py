@@ -33,6 +33,7 @@ LEAST_COUNT = 3
 SIZES = (3, 4)
 HASHES = 3
 PIECE = 1 << 20
+BATCH_CHARS = 1 << 18
 UNKNOWN = "und"
 
 _KEYS = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -106,7 +107,7 @@ def _batches(pieces: list[str]) -> Iterator[tuple[int, int]]:
     low = 0
     while low < len(pieces):
         high, size = low, 0
-        while high < len(pieces) and (high == low or size + len(pieces[high]) <= PIECE):
+        while high < len(pieces) and (high == low or size + len(pieces[high]) <= BATCH_CHARS):
             size += len(pieces[high])
             high += 1
         yield low, high

@@ -27,7 +27,7 @@ from millrace.llm.bpe import byte_symbols
 
 CONTINUES = "##"
 WORDS = r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]"
-KNOWN = 800_000
+KNOWN = 400_000
 LONGEST_KNOWN = 64
 _FIELD = 40  # bits of each count in a packed number
 

@@ -50,8 +50,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, lang, source, n_tokens, token_ids`` and the ``text`` decoded from them."""
     path = public_tokenizers.path(TOKENIZER)
-    encoded = bpe.encoded(docs.select("doc_id", "lang", "source", "text"), path).withColumn("n_tokens", F.size("token_ids").cast("long"))
-    return bpe.with_decoded(encoded, path).select("doc_id", "lang", "source", "n_tokens", "token_ids", "text")
+    encoded = bpe.encoded(docs.select("doc_id", "lang", "source", "text"), path, decode=True)
+    return encoded.select("doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", "text")
 
 
 STAGES = [

@@ -328,3 +328,17 @@ def test_every_long_exact_repeat_is_covered(spark, sf):
     spots = [(i, j) for s in repeated for i, j in where[s]]
     assert len(spots) > 1000
     assert sum(not covered[i].issuperset(range(j, j + 50)) for i, j in spots) == 0
+
+
+def test_passages_of_frequent_lines_meet(spark):
+    r = random.Random(9)
+    lines = [prose(r, 20) for _ in range(3)]
+    passage = sum(lines, [])
+    rows = {i: prose(r, 30) + lines[i % 3] + prose(r, 30) for i in [*range(1, 40), *range(50, 90), *range(100, 140)]}
+    # Pieces across the ends of lines are frequent as well.
+    rows |= {i: prose(r, 20) + passage[(i % 3) * 15 :][:30] + prose(r, 20) for i in [*range(200, 230), *range(400, 430)]}
+    rows[300], rows[310] = prose(r, 30) + passage + prose(r, 30), prose(r, 10) + passage + prose(r, 30)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows.items()], "doc_id long, text string")
+    out = passages.repeated_passages(docs).collect()
+    assert (310, 10, 70, 300, 30, 90, 60) in {tuple(x) for x in out}
+    assert {(x["doc_id"], x["ref_id"]) for x in out} == {(310, 300)}

@@ -57,7 +57,7 @@ def _least_ids(rows: DataFrame, count: int) -> DataFrame:
 
 
 def _permutations(classes: DataFrame, pivots: np.ndarray, extra: np.ndarray, largest: float, places: int) -> DataFrame:
-    """``class, vector, as_row, as_query``: the nearest pivots in order, as a row of the table and as a query."""
+    """``class, vector, order``: the nearest pivots in order, of rows of the table, or of queries if ``extra`` is 0."""
     shared = classes.sparkSession.sparkContext.broadcast((pivots.tobytes(), pivots.shape, extra.tolist(), largest))
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,14 +69,12 @@ def _permutations(classes: DataFrame, pivots: np.ndarray, extra: np.ndarray, lar
                 x = _matrix(batch.column(1), shape[1]).astype(np.float64)
                 near = x @ piv.T
                 lift = np.sqrt(np.maximum(top - (x * x).sum(axis=1), 0))[:, None] * more
-                columns = []
-                for sim in (near + lift, near):
-                    best = np.argsort(-sim, axis=1, kind="stable")[:, :places].astype(np.int16)
-                    ends = pa.array(np.arange(0, best.size + 1, best.shape[1]), pa.int32())
-                    columns.append(pa.ListArray.from_arrays(ends, pa.array(best.ravel())))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["class", "vector", "as_row", "as_query"])
+                best = np.argsort(-(near + lift), axis=1, kind="stable")[:, :places].astype(np.int16)
+                ends = pa.array(np.arange(0, best.size + 1, best.shape[1]), pa.int32())
+                orders = pa.ListArray.from_arrays(ends, pa.array(best.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), orders], names=["class", "vector", "order"])
 
-    return classes.select("class", "vector").mapInArrow(order, "class long, vector array<float>, as_row array<short>, as_query array<short>")
+    return classes.select("class", "vector").mapInArrow(order, "class long, vector array<float>, order array<short>")
 
 
 class Block:
@@ -136,18 +134,22 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, opened: float
     extra = np.sqrt(np.maximum(largest - (pivots * pivots).sum(axis=1), 0))
     n_pivots, places = len(pivots), min(PLACES, len(pivots))
     found = scratch.write(_permutations(classes, pivots, extra, largest, places), "orders")
-    posted, files = min(POSTED, places), min(places, max(1, round(opened * n_pivots)))
+    posted, files = min(POSTED, places), min(n_pivots, max(1, round(opened * n_pivots)))
     shards = max(8, -(-count * posted // SHARD_POSTINGS))
-    deal = F.transform(F.slice("as_row", 1, posted), lambda p: p % shards)
-    post = found.select("class", "vector", F.col("as_row").alias("order"), F.explode(F.array_distinct(deal)).alias("shard"))
+    deal = F.transform(F.slice("order", 1, posted), lambda p: p % shards)
+    post = found.select("class", "vector", "order", F.explode(F.array_distinct(deal)).alias("shard"))
     most = post.groupBy("shard").count().agg(F.max("count")).first()[0]
     blocks = max(1, -(-most // BLOCK_ROWS))
     post = post.withColumn("block", F.pmod(F.xxhash64("class"), F.lit(blocks)).cast("int")).withColumn("kind", F.lit(0))
+    post = post.withColumn("own", F.array().cast("array<short>"))
     asking = members.filter("asks").select("class").distinct()
-    ask = found.join(asking, "class", "left_semi").select("class", "vector", F.col("as_query").alias("order"))
-    ask = ask.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    # A query's order goes over all files that it opens, however many; a shard gets those of its own, and the places of the footrule.
+    ask = _permutations(classes.join(asking, "class", "left_semi"), pivots, 0 * extra, largest, max(places, files))
+    ask = scratch.write(ask, "asking").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    ask = ask.withColumn("own", F.filter(F.slice("order", 1, files), lambda p: p % shards == F.col("shard"))).filter(F.size("own") > 0)
+    ask = ask.withColumn("order", F.slice("order", 1, places)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     ask = ask.withColumn("kind", F.lit(1))
-    columns = ["shard", "block", "kind", "class", "order", "vector"]
+    columns = ["shard", "block", "kind", "class", "order", "vector", "own"]
     by = ["shard", "block", "kind"]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,6 +157,7 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, opened: float
         for batch in batches:
             shard, slot, kind, ids = (batch.column(i).to_numpy() for i in range(4))
             orders, vecs = _matrix(batch.column(4), places), _matrix(batch.column(5), width)
+            files_of, file_ends = batch.column(6).values.to_numpy(), batch.column(6).offsets.to_numpy()
             out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             change = np.flatnonzero((shard[1:] != shard[:-1]) | (slot[1:] != slot[:-1]) | (kind[1:] != kind[:-1])) + 1
             for a, b in zip([0, *change.tolist()], [*change.tolist(), len(ids)], strict=True):
@@ -171,8 +174,7 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, opened: float
                 if block is None:
                     continue
                 for i in range(a, b):
-                    own = orders[i][:files]
-                    own = own[own % shards == key[0]]
+                    own = files_of[file_ends[i] : file_ends[i + 1]]
                     near, scores = block.nearest(orders[i], vecs[i], own, reranked, k + 1)
                     out.append((np.full(len(near), ids[i]), near, scores))
             if out:

@@ -258,6 +258,17 @@ def test_few_vectors(spark):
     assert permutation.neighbours(alone, F.lit(True)).count() == 0
 
 
+def test_a_query_opens_its_share_of_all_files(spark, monkeypatch):
+    monkeypatch.setattr(permutation, "PLACES", 4)  # fewer than the files to open, as in a large table
+    x = np.random.default_rng(6).normal(size=(1500, 16)).astype(np.float32)
+    table = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<float>")
+    found = defaultdict(list)
+    for r in sorted(permutation.neighbours(table, F.col("vec_id") % 100 == 0, opened=1.0, reranked=1.0).collect(), key=lambda r: r["rank"]):
+        found[r["query_id"]].append(r["vec_id"])
+    for q in range(0, 1500, 100):
+        assert found[q] == [int(i) for i in np.argsort(-(x.astype(np.float64) @ x[q].astype(np.float64)), kind="stable") if i != q][:20]
+
+
 # Passages
 
 

@@ -353,3 +353,20 @@ def test_passages_of_frequent_lines_meet(spark):
     out = passages.repeated_passages(docs).collect()
     assert (310, 10, 70, 300, 30, 90, 60) in {tuple(x) for x in out}
     assert {(x["doc_id"], x["ref_id"]) for x in out} == {(310, 300)}
+
+
+@pytest.mark.parametrize(("percent_changed", "recall"), [(15, 0.95), (20, 0.75)])
+def test_recall_of_changed_passages(spark, percent_changed, recall):
+    r = random.Random(10)
+    rows, n = {}, 200
+    for i in range(n):
+        passage = prose(r, 60)
+        changed = list(passage)
+        for j in r.sample(range(5, 55), 60 * percent_changed // 100):
+            changed[j] = f"new{i}x{j}"
+        rows[i], rows[1000 + i] = prose(r, 20) + passage + prose(r, 20), prose(r, 30) + changed + prose(r, 10)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows.items()], "doc_id long, text string")
+    found = {(x["doc_id"], x["ref_id"]) for x in passages.repeated_passages(docs).collect()}
+    print("recall", percent_changed, len(found) / n)
+    assert found <= {(1000 + i, i) for i in range(n)}
+    assert len(found) >= recall * n

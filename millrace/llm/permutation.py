@@ -123,7 +123,8 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, opened: float
         return empty
     width = common["width"]
     rows = rows.filter(F.size("vector") == width)
-    classes = scratch.write(rows.groupBy("vector").agg(F.min("vec_id").alias("least")).withColumn("class", F.monotonically_increasing_id()), "classes")
+    # Classes ascend with their least id, so that ties cut by class go to the smaller id.
+    classes = scratch.write(rows.groupBy("vector").agg(F.min("vec_id").alias("least")).orderBy("least").withColumn("class", F.monotonically_increasing_id()), "classes")
     members = rows.join(classes.select("vector", "class"), "vector").select("class", "vec_id", "asks").distinct()
     members = scratch.write(members, "members")
     squares = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))

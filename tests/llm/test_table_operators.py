@@ -269,6 +269,13 @@ def test_a_query_opens_its_share_of_all_files(spark, monkeypatch):
         assert found[q] == [int(i) for i in np.argsort(-(x.astype(np.float64) @ x[q].astype(np.float64)), kind="stable") if i != q][:20]
 
 
+def test_ties_within_a_block_go_to_the_smaller_id(spark):
+    rows = [(i, [1.0, (i * 37 % 2000) / 2000]) for i in range(1, 2000)]
+    table = spark.createDataFrame([*rows, (5000, [1.0, 0.0])], "vec_id long, embedding array<float>")
+    out = permutation.neighbours(table, F.col("vec_id") == 5000, opened=1.0, reranked=1.0).collect()
+    assert [r["vec_id"] for r in sorted(out, key=lambda r: r["rank"])] == list(range(1, 21))
+
+
 # Passages
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm import bpe, chat, exact, langid, mixing, neardup, passages, permutation, warc, wordpiece
+from millrace.llm import alignment, bpe, chat, exact, langid, mixing, neardup, passages, permutation, warc, wordpiece
 from millrace.session import read_table, scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,9 @@ FROM o GROUP BY ALL
 @_query
 def op10_chained_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(read_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.alignment(read_table(spark, sf_dir, "documents"), *files)[0]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.lineage.chains import contract
 from millrace.operators.lineage.rounds import EdgeTable, RoundTable, check_round
 from millrace.operators.skew import ROWS_PER_TASK
 
@@ -16,22 +17,39 @@ def closure(
     max_rounds: int | None = None,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """Seeds and everything a walk reaches from them: ``(id, distance)``. Works on any graph.
+    """Seeds and everything a walk reaches from them: ``(id, distance)``, in steps. Works on any graph.
 
-    Each id is expanded once, in the round that first finds it.
+    Paths without branches are contracted first, so the number of rounds follows the branches, not the length of the walk.
+    A round takes up the ids that the one before found, or found nearer than before; without contracted paths that is each id once.
     """
     spark = edges.sparkSession
-    pairs = edges.select("source_id", "target_id")
-    with EdgeTable(pairs, walk_from, rows_per_task) as walk, RoundTable(spark, "reached") as reached:
-        found = reached.append(seeds.select("id").distinct(), 0)["n"]
+    other = {"source_id": "target_id", "target_id": "source_id"}[walk_from]
+    seeds = seeds.select("id").distinct()
+    pairs = edges.select(F.col(walk_from).alias("from_id"), F.col(other).alias("to_id")).filter("from_id <> to_id")
+    contracted = contract(pairs, seeds)
+    steps = pairs if contracted is None else contracted.edges
+    steps = steps.withColumnsRenamed({"from_id": walk_from, "to_id": other})
+    with EdgeTable(steps, walk_from, rows_per_task) as walk, RoundTable(spark, "reached") as reached:
+        found = reached.append(seeds.select("id", F.lit(0).cast("long").alias("distance")), 0)["n"]
         round_no = 0
         while found:
             check_round(round_no, max_rounds)
-            candidates = walk.step(reached.at(round_no).select("id")).select(F.col("to_id").alias("id")).distinct()
-            new = candidates.join(reached.all().select("id"), "id", "left_anti")
+            met = walk.step(reached.at(round_no).select("id", "distance"), found)
+            if contracted is None:  # what is found again is never nearer
+                offers = met.select(F.col("to_id").alias("id")).distinct().withColumn("distance", F.lit(round_no + 1).cast("long"))
+                new = offers.join(reached.all().select("id"), "id", "left_anti")
+            else:
+                offers = met.groupBy(F.col("to_id").alias("id")).agg(F.min(F.col("distance") + F.col("length")).alias("distance"))
+                known = reached.all().groupBy("id").agg(F.min("distance").alias("known"))
+                new = offers.join(known, "id", "left").filter("known IS NULL OR distance < known").select("id", "distance")
             round_no += 1
             found = reached.append(new, round_no)["n"]
-        return reached.result().withColumnRenamed("round", "distance")
+        result = reached.result().select("id", "distance")
+    if contracted is None:
+        return result
+    result = result.groupBy("id").agg(F.min("distance").alias("distance"))
+    passed = contracted.inner.join(result.select(F.col("id").alias("entry"), "distance"), "entry")
+    return result.union(passed.select("id", (F.col("distance") + F.col("length")).alias("distance")))
 
 
 def upstream(edges: DataFrame, seeds: DataFrame, **options) -> DataFrame:

@@ -18,6 +18,12 @@ from millrace.operators.skew import ROWS_PER_TASK, add_salt, hot_keys, repeat_fo
 from millrace.session import scratch_dir, shuffle_partitions
 
 
+#: A frontier of up to so many nodes is handed as a list to the scan of an edge table that is larger than this: fetching
+#: the list is a job of its own, which saves nothing on a small table.
+PUSHED_IDS = 2000
+PRUNED_BYTES = 64 << 20
+
+
 class _Table:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
@@ -42,6 +48,9 @@ class EdgeTable(_Table):
     Extra columns of ``edges`` are kept and come with each step. A node with very many edges is
     spread over several buckets by salt. ``edges`` is computed twice, once to count: save edges that
     are expensive to compute, such as those extracted from texts, before walking them.
+
+    Buckets are sorted. A step from few nodes names them in the scan, which then opens only their buckets, and of these
+    only the pages that may hold them; a step from many nodes touches all buckets anyway.
     """
 
     def __init__(self, edges: DataFrame, walk_from: str, rows_per_task: int = ROWS_PER_TASK):
@@ -56,22 +65,30 @@ class EdgeTable(_Table):
         (
             placed.repartition(self.buckets, *keys)
             .write.bucketBy(self.buckets, *keys)
+            .sortBy("from_id")
             .option("path", self.path)
             .format("parquet")
             .saveAsTable(self.name)
         )
         self.edges = self.spark.table(self.name)
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        self.bytes = place.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
         if self.hot is not None:
             self.hot = self.hot.withColumnRenamed(walk_from, "id")
 
-    def step(self, frontier: DataFrame) -> DataFrame:
-        """One step from the ``id`` of each frontier row; its other columns come along."""
-        kept = [c for c in frontier.columns if c != "id"]
+    def step(self, frontier: DataFrame, n_ids: int | None = None) -> DataFrame:
+        """One step from the ``id`` of each frontier row; its other columns come along.
+
+        ``n_ids``, where known, is the number of frontier rows.
+        """
+        kept, edges = [c for c in frontier.columns if c != "id"], self.edges
+        if n_ids is not None and n_ids <= PUSHED_IDS and self.bytes > PRUNED_BYTES:
+            edges = edges.filter(F.col("from_id").isin([r.id for r in frontier.select("id").collect()]))
         if self.hot is None:
-            joined = frontier.join(self.edges, F.col("id") == F.col("from_id"))
+            joined = frontier.join(edges, F.col("id") == F.col("from_id"))
         else:
             spread = repeat_for_salts(frontier, ["id"], self.hot).withColumnRenamed("salt", "_salt")
-            joined = spread.join(self.edges, (F.col("id") == F.col("from_id")) & (F.col("_salt") == F.col("salt")))
+            joined = spread.join(edges, (F.col("id") == F.col("from_id")) & (F.col("_salt") == F.col("salt")))
         return joined.select(F.col("to_id"), *kept, *self.extra)
 
 

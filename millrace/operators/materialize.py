@@ -13,6 +13,7 @@ from pyspark.storagelevel import StorageLevel
 
 from millrace.sinks.files import layout, write, write_by_key
 from millrace.sources import files
+from millrace.sources.custom import REGISTERED
 
 Compute = Callable[[], DataFrame]
 Target = tuple[str, str]  # (path, format)
@@ -50,7 +51,8 @@ def read_back(spark: SparkSession, path: str, fmt: str = "parquet", schema=None,
         return files.read_text(spark, path, **options)
     if fmt == "matrix":
         return files.read_matrix(spark, path, **options)
-    reader = spark.read.schema(schema) if schema is not None else spark.read
+    known = schema is not None and fmt not in REGISTERED  # a registered format has its own
+    reader = spark.read.schema(schema) if known else spark.read
     return reader.options(**options).format(fmt).load(path)
 
 

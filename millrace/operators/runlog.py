@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import is_rule_line, strip_ansi, strip_markup
-from millrace.operators.ranking import with_position
+from millrace.operators.scan import scan
 
 # The layout of a log line.
 TEXT_WIDTH = 72  # nine tenths of a line of 80
@@ -117,22 +115,17 @@ def attempt_number(name: Column) -> Column:
 def task_durations(lines: DataFrame, keys: Sequence[str], at: str = "at") -> DataFrame:
     """Start, end and elapsed time of each execution, from parsed lines; ``keys`` are what the lines tell of a task.
 
-    A key may be executed several times: lines are numbered by time within their key, and a start ends with the
-    line that follows it, if that is an end. An execution without one has NULL end, outcome and elapsed time; an end
-    without a start, as a skipped task has, has a NULL start. At one time, ends go first. Numbers come from
-    range partitions and pairs are joined by key and number, so a key may have any number of lines.
+    A key may be executed several times: in the order of time within a key, a start ends with the line that
+    follows it, if that is an end. An execution without one has NULL end, outcome and elapsed time; an end without a start, as a
+    skipped task has, has a NULL start. At one time, ends go first. Lines are scanned in range partitions, so a
+    key may have any number of them, and each line is shuffled once.
     """
     used = lines.filter(F.col("status").isNotNull()).select(*keys, F.col(at).alias("_at"), "status", (F.col("status") == "RUN").alias("_starts"))
-    numbered = with_position(used, ["_at", "_starts", "status"], within=keys, position="_n")
-    starts = numbered.filter("_starts").select(*keys, F.col("_at").alias("started"), F.col("_n"))
-    ends = numbered.filter("not _starts").select(
-        *(F.col(k).alias(f"_{k}") for k in keys), F.col("_at").alias("ended"), F.col("status").alias("outcome"), (F.col("_n") - 1).alias("_after")
-    )
-    same = reduce(and_, (starts[k].eqNullSafe(ends[f"_{k}"]) for k in keys)) & (starts["_n"] == ends["_after"])
-    paired = starts.join(ends, same, "full_outer")
-    found = paired.select(
-        *(F.when(F.col("_n").isNotNull(), F.col(k)).otherwise(F.col(f"_{k}")).alias(k) for k in keys), "started", "ended", "outcome"
-    )
+    near = scan(used, ["_at", "_starts", "status"], keys, lead={"_next": "status", "_next_at": "_at"}, lag={"_last": "status"})
+    near = near.filter(F.col("_starts") | ~F.col("_last").eqNullSafe("RUN"))
+    ended = F.when(~F.col("_starts"), F.col("_at")).when(F.col("_next") != "RUN", F.col("_next_at"))
+    outcome = F.when(~F.col("_starts"), F.col("status")).when(F.col("_next") != "RUN", F.col("_next"))
+    found = near.select(*keys, F.when(F.col("_starts"), F.col("_at")).alias("started"), ended.alias("ended"), outcome.alias("outcome"))
     return found.withColumn("elapsed_micros", F.timestamp_diff("MICROSECOND", "started", "ended"))
 
 

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators.lineage import build, checks, order, reach
+from millrace.operators.lineage import blocks, build, checks, order, reach, rounds
 from millrace.operators.lineage.rounds import EdgeTable, RoundTable
 
 SIXTEEN = [
@@ -161,11 +161,137 @@ def test_a_round_shuffles_only_what_it_found(spark):
 
 
 def test_too_many_rounds_is_an_error(spark):
-    edges = edges_of(spark, [(i, i + 1) for i in range(6)])
+    edges = edges_of(spark, [(i, i + d) for i in range(12) for d in (1, 2)])
     with pytest.raises(RuntimeError, match="3 rounds"):
         reach.downstream(edges, nodes_of(spark, [0]), max_rounds=3)
 
 
+def plain_distances(pairs, seeds):
+    at = {s: 0 for s in seeds}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            if a in at and at[a] + 1 < at.get(b, 1 << 60):
+                at[b], changed = at[a] + 1, True
+    return at
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_contracted_paths_keep_their_distances(spark, seed):
+    r = random.Random(seed)
+    pairs = [(r.randrange(12), r.randrange(12)) for _ in range(14)]
+    new = 100
+    for _ in range(10):  # unbranched paths between nodes that are there, some of them dead ends or circles
+        length, a, b = r.randrange(1, 9), r.randrange(14), r.randrange(14)
+        nodes = [a, *range(new, new + length), b]
+        new += length
+        pairs += list(zip(nodes, nodes[1:]))
+    pairs += [(900, 901), (901, 902), (902, 900)]  # a circle that nothing enters
+    seeds = [0, 103] + ([901] if seed == 2 else [])
+    pairs = list(dict.fromkeys(pairs))
+    found = {row.id: row.distance for row in reach.downstream(edges_of(spark, pairs), nodes_of(spark, seeds)).collect()}
+    assert found == plain_distances(pairs, seeds)
+
+
+def input_bytes(spark):
+    """Bytes that all stages so far have read."""
+    context = spark.sparkContext
+    none = context._gateway.new_array(context._jvm.double, 0)
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, none, context._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).inputBytes() for i in range(stages.size()))
+
+
+def test_a_long_path_takes_few_rounds(spark, monkeypatch):
+    n, found_in, read = 10_000, [], []
+    names = list(range(n))
+    random.Random(7).shuffle(names)
+    append = RoundTable.append
+
+    def counted(self, df, *args, **kw):
+        before = input_bytes(spark)
+        out = append(self, df, *args, **kw)
+        found_in.append(out["n"])
+        read.append(input_bytes(spark) - before)
+        return out
+
+    monkeypatch.setattr(RoundTable, "append", counted)
+    edges = edges_of(spark, list(zip(names, names[1:])))
+    found = {row.id: row.distance for row in reach.downstream(edges, nodes_of(spark, [names[0]])).collect()}
+    assert found == {name: i for i, name in enumerate(names)}
+    assert len(found_in) <= 20 and max(read) < 4 << 20
+
+
+def test_a_step_from_few_nodes_opens_few_buckets(spark, monkeypatch):
+    monkeypatch.setattr(rounds, "PRUNED_BYTES", 0)
+    ids_ = spark.range(400_000).selectExpr("xxhash64(id) AS source_id", "xxhash64(id, 1) AS target_id", "id")
+    first = ids_.filter("id = 5").first()
+    with EdgeTable(ids_.drop("id"), "source_id") as table, RoundTable(spark, "t") as seen:
+        seen.append(nodes_of(spark, [first.source_id]), 0)
+        frontier = seen.at(0).select("id")
+
+        def bytes_of(n_ids):
+            before = input_bytes(spark)
+            assert [r.to_id for r in table.step(frontier, n_ids).collect()] == [first.target_id]
+            return input_bytes(spark) - before
+
+        whole, few = bytes_of(None), bytes_of(1)
+        assert few < whole / 4, (few, whole)
+
+
+@pytest.mark.parametrize("ends", ["source_id", "target_id"])
+def test_closure_rounds_follow_the_branches(spark, ends):
+    ladder = [(i, i + 1) for i in range(5)] + [(i, i + 2) for i in range(4)]
+    tail = [(5, 50)] + [(i, i + 1) for i in range(50, 90)]
+    pairs = ladder + tail
+    forward = ends == "source_id"
+    found = reach.closure(edges_of(spark, pairs), nodes_of(spark, [0 if forward else 90]), ends, max_rounds=10)
+    assert ids(found) == walk(pairs, [0 if forward else 90], forward)
+
+
+def plain_levels(pairs, nodes):
+    need, out, level = {}, {}, {}
+    for a, b in set(pairs):
+        need[b] = need.get(b, 0) + 1
+        out.setdefault(a, []).append(b)
+    todo = [n for n in nodes if not need.get(n)]
+    level = {n: 0 for n in todo}
+    while todo:
+        a = todo.pop()
+        for b in out.get(a, ()):
+            level[b] = max(level.get(b, 0), level[a] + 1)
+            need[b] -= 1
+            if not need[b]:
+                todo.append(b)
+    return {n: lv for n, lv in level.items() if not need.get(n)}
+
+
+@pytest.mark.parametrize(("seed", "per_block", "hub"), [(1, 1, 1000), (2, 7, 3), (3, 1000, 2), (4, 5, 1000)])
+def test_levels_and_components_in_blocks(spark, monkeypatch, seed, per_block, hub):
+    """Small blocks, and nodes with more edges than a relay takes."""
+    monkeypatch.setattr(order, "BlockGraph", lambda edges, **_: blocks.BlockGraph(edges, edges_per_block=per_block, hub_edges=hub))
+    r = random.Random(seed)
+    name = (lambda i: f"n{i:03d}") if seed % 2 else (lambda i: i)
+    pairs = [(name(r.randrange(40)), name(r.randrange(40))) for _ in range(55)] + [(name(3), name(i)) for i in range(4, 30)]
+    assert {row.id: row.component for row in order.cyclic_components(edges_of(spark, pairs)).collect()} == components(pairs)
+    nodes = [name(i) for i in range(45)]
+    got = {row.id: row.level for row in order.reachable_levels(nodes_of(spark, nodes), edges_of(spark, pairs)).collect()}
+    assert got == plain_levels(pairs, nodes)
+    down = [(a, b) for a, b in pairs if a < b]
+    got = {row.id: row.level for row in order.reachable_levels(nodes_of(spark, nodes), edges_of(spark, down)).collect()}
+    assert got == plain_levels(down, nodes)
+
+
+def test_levels_inside_a_block_take_no_rounds(spark):
+    pairs = [(i, i + 1) for i in range(4000)]
+    edges = edges_of(spark, pairs)
+    with blocks.BlockGraph(edges) as graph:
+        graph.run(order._level_step)
+        assert graph.rounds <= len(graph.blocks) + 1
+        found = graph.values(order._known_levels, "num long, level long").join(graph.nodes, "num").select("id", "level").collect()
+    assert {r.id: r.level for r in found} == {i: i for i in range(4001)}
+
+
 def test_references_in_task_sources(spark):
     source = '''
 class T(Task):

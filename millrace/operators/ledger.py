@@ -67,10 +67,11 @@ def insert_if_absent(
 
 
 def key_conflicts(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keys of ``incoming`` that are taken, or that it holds more than once: ``(keys..., reason)``."""
+    """Keys of ``incoming`` that are taken, or that it holds more than once: ``(keys..., reason)``. NULL keys match each other."""
     counted = incoming.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     repeated = counted.filter("_n > 1").select(*keys, F.lit("repeated").alias("reason"))
-    taken = counted.join(existing.select(*keys), list(keys), "left_semi")
+    condition, renamed = _same(counted, existing.select(*keys), keys)
+    taken = counted.join(renamed, condition, "left_semi")
     return taken.select(*keys, F.lit("taken").alias("reason")).unionByName(repeated)
 
 

@@ -61,26 +61,25 @@ def matrix_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered(
     "file_discovery",
     """
-    SELECT 'c_mktsegment=' || c_mktsegment AS folder, count(*) AS n_lines, CAST(sum(length(c_name)) AS BIGINT) AS n_chars
+    SELECT 'c_mktsegment=' || c_mktsegment AS folder, count(*) AS n_lines, CAST(sum(length(c_name)) AS BIGINT) AS n_chars,
+           CAST(sum(length(c_name) + 1) AS BIGINT) AS n_bytes
     FROM customer GROUP BY c_mktsegment
     """,
 )
 def file_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two kinds of files under one root; the glob finds only the text files, at any depth."""
+    """Two kinds of files under one root; the glob finds only the text files, at any depth, with their sizes and texts."""
     customer = read_table(spark, sf_dir, "customer")
     root = scratch_dir(spark, "tree")
     write_by_key(customer.select("c_mktsegment", "c_name"), "c_mktsegment", f"{root}/nested", "text")
     write(read_table(spark, sf_dir, "nation"), f"{root}/other", "csv")
-    found = (
-        spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.txt")
-        .text(root)
-        .select(files.relative_path(F.col("_metadata.file_path"), root).alias("path"), "value")
-    )
-    folder = F.element_at(F.split("path", "/"), -2)
-    return found.groupBy(folder.alias("folder")).agg(
-        F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("value")).alias("n_chars")
-    )
+    listed = files.discover_files(spark, root, "*.txt").groupBy(_folder_of("relative_path")).agg(F.sum("size_bytes").alias("n_bytes"))
+    lines = files.read_sources(spark, root, "*.txt").select(_folder_of("relative_path"), F.explode(F.split(F.rtrim("text", F.lit("\n")), "\n")).alias("line"))
+    counted = lines.groupBy("folder").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("line")).alias("n_chars"))
+    return counted.join(listed, "folder")
+
+
+def _folder_of(path: str):
+    return F.element_at(F.split(path, "/"), -2).alias("folder")
 
 
 @registered(
@@ -166,6 +165,30 @@ def custom_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n_orders"), F.max("o_totalprice").alias("highest"))
 
 
+@registered(
+    "custom_target",
+    """
+    SELECT 'saved' AS step, c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal > 5000
+    UNION ALL
+    SELECT 'refreshed', c_custkey, upper(c_name), c_acctbal + 1 FROM customer WHERE c_acctbal + 1 > 5000
+    """,
+)
+def custom_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's format as a target: saved once, read instead of computed, then refreshed from its own content."""
+    customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in customer.schema)
+    register_format(spark, "arrow_target", schema, open_feather, save_feather, count_feather_batches, ".arrow")
+    path = scratch_dir(spark, "target")
+    rich = F.col("c_acctbal") > 5000
+    read_or_compute(spark, path, lambda: customer, "arrow_target")
+    saved = read_or_compute(spark, path, None, "arrow_target").filter(rich)
+    first = materialize(saved.select(F.lit("saved").alias("step"), "*"), scratch_dir(spark, "saved"))
+    old = read_or_compute(spark, path, None, "arrow_target")
+    more = old.select("c_custkey", F.upper("c_name").alias("c_name"), (F.col("c_acctbal") + 1).alias("c_acctbal"))
+    fresh = read_or_compute(spark, path, lambda: more, "arrow_target", full_refresh=True).filter(rich)
+    return first.unionByName(fresh.select(F.lit("refreshed").alias("step"), "*"))
+
+
 @registered("custom_sink", "SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer")
 def custom_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user-written format, saved and opened again."""

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, NumericType, StringType
 
+from millrace.sources.custom import REGISTERED
 from millrace.sources.files import CSV_OPTIONS, TIMESTAMP_OPTIONS
 
 FORMATS = ("parquet", "orc", "csv", "json", "text", "matrix")
@@ -17,8 +18,10 @@ FORMATS = ("parquet", "orc", "csv", "json", "text", "matrix")
 
 def write(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists", **options) -> str:
     """Write ``df`` and return its path. ``options`` go to the writer as they are."""
+    if fmt in REGISTERED:
+        return _write_custom(df, path, fmt, mode, options)
     if fmt not in FORMATS:
-        raise ValueError(f"unknown format {fmt!r}; known: {', '.join(FORMATS)}")
+        raise ValueError(f"unknown format {fmt!r}; known: {', '.join([*FORMATS, *sorted(REGISTERED)])}")
     if fmt == "matrix":
         df, fmt = _matrix_lines(df), "text"
     if fmt not in ("csv", "json"):
@@ -34,6 +37,19 @@ def write(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifex
     return path
 
 
+def _write_custom(df: DataFrame, path: str, fmt: str, mode: str, options: dict) -> str:
+    """A format of ``register_format``, which itself knows only appending and overwriting."""
+    spark = df.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = mode not in ("append", "overwrite") and place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    if there and mode == "ignore":
+        return path
+    if there:
+        raise ValueError(f"{path} exists already")
+    df.write.mode(mode if mode == "overwrite" else "append").options(**options).format(fmt).save(path)
+    return path
+
+
 # Readers pass over names with an underscore.
 LAYOUT = "_layout.json"
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import is_rule_line, strip_ansi, strip_markup
 from millrace.operators.scan import scan
+from millrace.session import stored
 
 # The layout of a log line.
 TEXT_WIDTH = 72  # nine tenths of a line of 80
@@ -118,9 +119,11 @@ def task_durations(lines: DataFrame, keys: Sequence[str], at: str = "at") -> Dat
     A key may be executed several times: in the order of time within a key, a start ends with the line that
     follows it, if that is an end. An execution without one has NULL end, outcome and elapsed time; an end without a start, as a
     skipped task has, has a NULL start. At one time, ends go first. Lines are scanned in range partitions, so a
-    key may have any number of them, and each line is shuffled once.
+    key may have any number of them, and each line is shuffled once. They are stored first: a range shuffle reads its input
+    twice, once for the bounds of the ranges, and lines should be parsed once.
     """
     used = lines.filter(F.col("status").isNotNull()).select(*keys, F.col(at).alias("_at"), "status", (F.col("status") == "RUN").alias("_starts"))
+    used = stored(used)
     near = scan(used, ["_at", "_starts", "status"], keys, lead={"_next": "status", "_next_at": "_at"}, lag={"_last": "status"})
     near = near.filter(F.col("_starts") | ~F.col("_last").eqNullSafe("RUN"))
     ended = F.when(~F.col("_starts"), F.col("_at")).when(F.col("_next") != "RUN", F.col("_next_at"))

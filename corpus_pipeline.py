@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.llm import bpe, exact, langid, mixing, neardup
 from millrace.llm.queries import SNAPSHOT_HALF
-from millrace.llm.store import Scratch
+from millrace.llm.store import Scratch, fresh
 from millrace.session import read_table
 
 #: A text of which no language knows this share of n-grams is in none of them.
@@ -23,13 +23,16 @@ TOKENIZER = "word_bpe_49k.json"
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the labelled languages; texts without letters go as well.
 
-    With no labelled row there is nothing to decide by, and all documents stay.
+    With no labelled row there is nothing to decide by, and all documents stay. Columns that are named as the prediction is keep
+    their values.
     """
     model = langid.learn(docs.filter(langid.in_training(F.col("doc_id"))))
     if not model.languages:
         return docs
-    found = langid.identified(docs, model)
-    return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
+    aside = {c: fresh(docs, f"own_{c}") for c in docs.columns if c.lower() in ("lang_pred", "score")}
+    found = langid.identified(docs.withColumnsRenamed(aside), model)
+    kept = found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
+    return kept.select(*(F.col(aside.get(c, c)).alias(c) for c in docs.columns))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

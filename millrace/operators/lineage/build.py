@@ -111,3 +111,34 @@ def manifest(tasks: DataFrame, edges: DataFrame, targets: DataFrame, page_size:
         )
     )
     return by_module.unionByName(per_task).withColumn("items", F.to_json("items"))
+
+
+def manifest_tree(tasks: DataFrame, edges: DataFrame, targets: DataFrame, page_size: int = 1000) -> DataFrame:
+    """The manifest by folder, at every depth: ``(folder, depth, page, n_tasks, n_modules, n_refs, n_targets, items)``.
+
+    ``tasks(id, path)``, ``edges`` and ``targets(task_id, loc)`` are as for ``manifest``. Counts cover all that lies below a folder; ``items``
+    lists what lies directly in it, folders with a slash at their end, in pages. The root is the folder ``""`` at depth 0. Tasks are
+    counted up to their folders first; only rows of folders then go to the folders above them, in one shuffle whatever the depth.
+    """
+    refs = edges.select(F.col("target_id").alias("id"), "source_id").distinct().groupBy("id").agg(F.count(F.lit(1)).alias("n_refs"))
+    locs = targets.select(F.col("task_id").alias("id"), "loc").distinct().groupBy("id").agg(F.count(F.lit(1)).alias("n_targets"))
+    parts = F.split(module_path(F.col("path")), "/")
+    placed = tasks.select("id", F.slice(parts, F.lit(1), F.size(parts) - 1).alias("_above"), F.element_at(parts, -1).alias("module")).distinct()
+    counted = placed.join(refs, "id", "left").join(locs, "id", "left")
+    sums = [F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in ("n_refs", "n_targets")]
+    modules = counted.groupBy("_above", "module").agg(F.count(F.lit(1)).alias("n_tasks"), *sums)
+    numbers = ["n_tasks", "n_modules", "n_refs", "n_targets"]
+    direct = modules.withColumn("n_modules", F.lit(1).cast("bigint")).groupBy("_above").agg(*(F.sum(n).alias(n) for n in numbers))
+    depths = F.sequence(F.lit(0), F.size("_above"))
+    above = direct.select(F.explode(F.transform(depths, lambda d: F.slice("_above", F.lit(1), d))).alias("_parts"), *numbers)
+    totals = above.groupBy("_parts").agg(*(F.sum(n).alias(n) for n in numbers))
+
+    def name(parts: Column) -> Column:
+        return F.when(F.size(parts) == 0, "").otherwise(F.concat(F.array_join(parts, "/"), F.lit("/")))
+
+    upper = F.slice("_parts", F.lit(1), F.size("_parts") - 1)
+    inside = totals.filter(F.size("_parts") > 0).select(name(upper).alias("folder"), F.concat(F.element_at("_parts", -1), F.lit("/")).alias("item"))
+    inside = inside.union(modules.select(name(F.col("_above")).alias("folder"), F.col("module").alias("item")))
+    items = paged_lists(inside, ["folder"], "item", page_size, "items")
+    named = totals.select(name(F.col("_parts")).alias("folder"), F.size("_parts").cast("bigint").alias("depth"), *numbers)
+    return named.join(items, "folder").select("folder", "depth", "page", *numbers, F.to_json("items").alias("items"))

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.storagelevel import StorageLevel
 
+from millrace.operators import keyfilter
+from millrace.session import stored
 from millrace.sinks.files import layout, write, write_by_key
 from millrace.sources import files
 from millrace.sources.custom import REGISTERED
@@ -141,15 +143,24 @@ def without_saved(source: DataFrame, saved: DataFrame, keys: Sequence[str]) -> D
 def append_missing(source: DataFrame, path: str, keys: Sequence[str], fmt: str = "parquet") -> DataFrame:
     """Append one row for each key of ``source`` that the target does not hold yet; returns the target.
 
-    Of the target only the keys are read. Running it again adds nothing twice, whether or not the
+    Of the target only the keys are read, and of Parquet targets only in the files that may hold one of the source's: a range and a
+    filter of each file's keys lie beside the data, see ``keyfilter``. Running it again adds nothing twice, whether or not the
     target has a commit marker. Of several rows of a key any one is added.
     """
     spark = source.sparkSession
     fresh = source.dropDuplicates(list(keys))
     if path_exists(spark, path):
-        fresh = without_saved(fresh, read_back(spark, path, fmt, source.schema), keys)
+        saved = read_back(spark, path, fmt, source.schema)
+        if fmt == "parquet":
+            fresh = stored(fresh)  # its keys are needed twice
+            some = keyfilter.files_that_may_hold(saved, path, fresh, keys)
+            saved = spark.read.schema(source.schema).parquet(*some) if some else saved.limit(0)
+        fresh = without_saved(fresh, saved, keys)
     write(fresh, path, fmt, mode="append")
-    return read_back(spark, path, fmt, source.schema)
+    result = read_back(spark, path, fmt, source.schema)
+    if fmt == "parquet":
+        keyfilter.learn(result, path, keys)
+    return result
 
 
 def refresh_partitions(source: DataFrame, path: str, partition: str) -> DataFrame:

@@ -304,6 +304,47 @@ def manifest_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build.manifest(inputs.tasks(spark, sf_dir), inputs.task_edges(spark, sf_dir), targets)
 
 
+@registered(
+    "manifest_tree",
+    f"""
+    WITH RECURSIVE {inputs.DAG_SQL},
+    placed AS (
+        SELECT 'task-' || p_partkey AS id, 'parts/' || lower(p_type) || '/s' || p_size || '/' AS folder, replace(lower(p_brand), '#', '_') AS module
+        FROM part
+    ),
+    counted AS (
+        SELECT folder, module, (SELECT count(*) FROM dag WHERE 'task-' || target_id = p.id) AS n_refs,
+               (SELECT count(DISTINCT p_name) FROM part WHERE p_type = 'SMALL' AND 'task-' || p_partkey = p.id) AS n_targets
+        FROM placed p
+    ),
+    up(folder, module_folder, module, n_refs, n_targets) AS (
+        SELECT folder, folder, module, n_refs, n_targets FROM counted
+        UNION ALL
+        SELECT regexp_replace(folder, '[^/]+/$', ''), module_folder, module, n_refs, n_targets FROM up WHERE folder <> ''
+    ),
+    totals AS (
+        SELECT folder, len(folder) - len(replace(folder, '/', '')) AS depth, count(*) AS n_tasks, count(DISTINCT (module_folder, module)) AS n_modules,
+               CAST(sum(n_refs) AS BIGINT) AS n_refs, CAST(sum(n_targets) AS BIGINT) AS n_targets
+        FROM up GROUP BY folder
+    ),
+    inside AS (
+        SELECT DISTINCT regexp_replace(folder, '[^/]+/$', '') AS folder, regexp_extract(folder, '[^/]+/$') AS item FROM totals WHERE folder <> ''
+        UNION SELECT folder, module FROM placed
+    )
+    SELECT folder, depth, CAST(0 AS BIGINT) AS page, n_tasks, n_modules, n_refs, n_targets, CAST(to_json(list(item ORDER BY item)) AS VARCHAR) AS items
+    FROM totals JOIN inside USING (folder) GROUP BY ALL
+    """,
+)
+def manifest_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = inputs.parts(spark, sf_dir)
+    brand = F.replace(F.lower("p_brand"), F.lit("#"), F.lit("_"))
+    path = F.concat(F.lit("parts/"), F.lower("p_type"), F.lit("/s"), F.col("p_size"), F.lit("/"), brand, F.lit(".py"))
+    tasks = parts.select(inputs.task_name("p_partkey").alias("id"), path.alias("path"))
+    loc = F.concat(F.lit("out/"), F.col("p_name"), F.lit(".csv"))
+    targets = parts.filter("p_type = 'SMALL'").select(inputs.task_name("p_partkey").alias("task_id"), loc.alias("loc"))
+    return build.manifest_tree(tasks, inputs.task_edges(spark, sf_dir), targets)
+
+
 @registered(
     "task_module_counts",
     f"WITH {inputs.TASKS_SQL} SELECT count(id) AS n_tasks, count(DISTINCT path) AS n_modules FROM tasks",

@@ -17,7 +17,7 @@ from millrace.operators.materialize import (
 from millrace.plans.catalog import registered
 from millrace.session import read_table, scratch_dir
 from millrace.sinks.files import write, write_by_key
-from millrace.sources import files, jdbc
+from millrace.sources import files, jdbc, sketches
 from millrace.sources.custom import register_format
 
 
@@ -109,6 +109,35 @@ def jdbc_scan_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@registered(
+    "jdbc_sketched_bounds",
+    """
+    SELECT count(*) AS n_rows, count(DISTINCT year(l_shipdate)) AS n_loads, CAST(8 AS BIGINT) AS n_partitions, true AS each_in_one, true AS balanced
+    FROM lineitem
+    """,
+)
+def jdbc_sketched_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loads by year leave sketches of a skewed column; the bounds of a scan of all of them come from these alone."""
+    lines = read_table(spark, sf_dir, "lineitem").select(
+        F.year("l_shipdate").alias("year"), (F.col("l_extendedprice") * F.col("l_quantity") * F.col("l_quantity")).cast("bigint").alias("weight")
+    )
+    path = scratch_dir(spark, "sketches")
+    years = sorted(r.year for r in lines.select("year").distinct().collect())
+    for year in years:
+        sketches.record_load(lines.filter(F.col("year") == year), path, str(year), ["weight"])
+    predicates = jdbc.range_predicates("weight", sketches.sketched_bounds(spark, path, "weight", 8))
+    matches = F.array_compact(F.array(*(F.when(F.expr(p), F.lit(i)) for i, p in enumerate(predicates))))
+    placed = lines.select(matches.alias("parts"))
+    sizes = placed.groupBy("parts").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(
+        F.sum("n").alias("n_rows"),
+        F.lit(len(years)).cast("bigint").alias("n_loads"),
+        F.count(F.lit(1)).alias("n_partitions"),
+        F.bool_and(F.size("parts") == 1).alias("each_in_one"),
+        (F.max("n") <= F.lit(1.1) * F.sum("n") / 8).alias("balanced"),
+    )
+
+
 def open_parquet(stream, piece):
     """Record batches of one row group."""
     import pyarrow.parquet as pq

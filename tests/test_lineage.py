@@ -406,3 +406,19 @@ def test_graph_checks_include_unclear_references(spark):
     checks.check_graph(tasks, edges, sources=clear)
     with pytest.raises(ValueError, match="not one literal"):
         checks.check_graph(tasks, edges, sources=spark.createDataFrame([("b", "CurrentRun.ref(a, b)")], "id string, text string"))
+
+
+def test_manifest_by_folder_at_every_depth(spark):
+    tasks = spark.createDataFrame([("a", "top.py"), ("b", "x/m.py"), ("c", "x/m.py"), ("d", "x/y/m.py"), ("e", "x/y/z/n.py"), ("e", "x/y/z/n.py")], "id string, path string")
+    edges = edges_of(spark, [("a", "b"), ("a", "b"), ("b", "e"), ("c", "e")])
+    targets = spark.createDataFrame([("e", "out"), ("a", "in"), ("a", "in")], "task_id string, loc string")
+    got = {(r.folder, r.page): tuple(r)[1:2] + tuple(r)[3:] for r in build.manifest_tree(tasks, edges, targets, page_size=1).collect()}
+    assert got == {
+        ("", 0): (0, 5, 4, 3, 2, '["top"]'),
+        ("", 1): (0, 5, 4, 3, 2, '["x/"]'),
+        ("x/", 0): (1, 4, 3, 3, 1, '["m"]'),
+        ("x/", 1): (1, 4, 3, 3, 1, '["y/"]'),
+        ("x/y/", 0): (2, 2, 2, 2, 1, '["m"]'),
+        ("x/y/", 1): (2, 2, 2, 2, 1, '["z/"]'),
+        ("x/y/z/", 0): (3, 1, 1, 2, 1, '["n"]'),
+    }

@@ -12,7 +12,7 @@ from millrace.operators import materialize as m
 from millrace.plans import storage
 from millrace.session import scratch_dir
 from millrace.sinks.files import write, write_by_key
-from millrace.sources import files, jdbc
+from millrace.sources import files, jdbc, sketches
 from millrace.sources.custom import register_format
 
 TRICKY = [
@@ -138,6 +138,22 @@ def test_quantile_bounds_balance_a_skewed_column(spark):
     assert len(sizes) == 4 and max(sizes) < 350
 
 
+def test_bounds_from_sketches_of_loads(spark, tmp_path):
+    path = str(tmp_path / "sketches")
+    skewed = spark.range(40_000).selectExpr("id % 4 AS load", "CAST(pow(id / 1000, 4) AS bigint) AS k", "IF(id % 10 = 0, NULL, id) AS n")
+    for load in range(4):
+        for _ in range(2):  # recorded again, it counts once
+            sketches.record_load(skewed.filter(f"load = {load}"), path, str(load), ["k", "n"])
+    for column in ("k", "n"):
+        bounds = sketches.sketched_bounds(spark, path, column, 10)
+        predicates = jdbc.range_predicates(column, bounds)
+        known = skewed.filter(f"{column} IS NOT NULL")
+        sizes = [known.filter(p).count() for p in predicates]
+        assert sum(sizes) == known.count() and len(sizes) == 10
+        assert max(sizes) <= 1.1 * known.count() / 10 and min(sizes) >= 0.9 * known.count() / 10
+    assert sketches.sketched_bounds(spark, path, "absent", 4) == [] and sketches.sketched_bounds(spark, path, "k", 1) == []
+
+
 def test_fan_out_checks(spark):
     with pytest.raises(ValueError, match="string"):
         write_by_key(spark.range(3), "id", scratch_dir(spark, "f"))

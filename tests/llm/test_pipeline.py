@@ -87,3 +87,12 @@ def test_queries_equal_their_sql(spark, sf):
     for name in QUERIES:
         if name in oracle_sql():
             assert difference(queries()[name](spark, sf), con, oracle_sql()[name]) is None, name
+
+
+def test_language_id_leaves_columns_of_its_names_alone(spark, tmp_path):
+    rows = [(*row, row[0] / 8, "mine") for row in corpus()]
+    docs = spark.createDataFrame(rows, SCHEMA + ", Score double, lang_pred string")
+    kept = corpus_pipeline.language(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    found = kept.collect()
+    assert sorted(r.doc_id for r in found) == list(range(200)) and all(r.Score == r.doc_id / 8 and r.lang_pred == "mine" for r in found)

@@ -258,6 +258,21 @@ def test_few_vectors(spark):
     assert permutation.neighbours(alone, F.lit(True)).count() == 0
 
 
+def test_double_vectors_keep_their_digits(spark):
+    x = np.random.default_rng(8).normal(size=(60, 3)) * (1 + 1e-12)
+    table = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    out = permutation.neighbours(table, F.col("vec_id") % 20 == 0).collect()
+    assert len(out) == 60
+    for r in out:
+        assert abs(r["score"] - float(x[r["query_id"]] @ x[r["vec_id"]])) < 1e-14
+
+
+def test_the_share_of_opened_files_falls_as_pivots_grow():
+    shares = [permutation.opened_share(n) for n in (1, 16, 100, 226, 1000, 4096)]
+    assert shares[0] == 1 and shares == sorted(shares, reverse=True) and shares[2] == 0.3
+    assert all(a * m < b * n for (a, m), (b, n) in zip(zip(shares, (1, 16, 100, 226, 1000)), zip(shares[1:], (16, 100, 226, 1000, 4096))))  # more files, still
+
+
 def test_a_query_opens_its_share_of_all_files(spark, monkeypatch):
     monkeypatch.setattr(permutation, "PLACES", 4)  # fewer than the files to open, as in a large table
     x = np.random.default_rng(6).normal(size=(1500, 16)).astype(np.float32)

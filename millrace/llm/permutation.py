@@ -159,8 +159,9 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, opened: float
     asking = members.filter("asks").select("class").distinct()
     # A query's order goes over all files that it opens, however many; a shard gets those of its own, and the places of the footrule.
     ask = _permutations(classes.join(asking, "class", "left_semi"), pivots, 0 * extra, largest, max(places, files))
-    ask = scratch.write(ask, "asking").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    ask = ask.withColumn("own", F.filter(F.slice("order", 1, files), lambda p: p % shards == F.col("shard"))).filter(F.size("own") > 0)
+    opens = F.slice("order", 1, files)
+    ask = scratch.write(ask, "asking").withColumn("shard", F.explode(F.array_distinct(F.transform(opens, lambda p: p % shards))))
+    ask = ask.withColumn("own", F.filter(opens, lambda p: p % shards == F.col("shard")))
     ask = ask.withColumn("order", F.slice("order", 1, places)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     ask = ask.withColumn("kind", F.lit(1))
     columns = ["shard", "block", "kind", "class", "order", "vector", "own"]

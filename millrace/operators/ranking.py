@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.scan import scan
 from millrace.session import stored, shuffle_partitions
 
 
@@ -72,7 +73,7 @@ def paged_lists(
     A key with at most ``page_size`` values has one row. A longer list continues on further pages,
     so no row grows with the data.
     """
-    placed = with_position(df.select(*keys, value), [value], keys)
+    placed = scan(df.select(*keys, value), [value], keys, number="position")
     page = F.expr(f"(position - 1) div {int(page_size)}").alias("page")
     items = F.sort_array(F.collect_list(value))
     return placed.groupBy(*keys, page).agg(items.alias(lists))

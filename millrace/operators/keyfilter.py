@@ -7,6 +7,7 @@ without an entry counts as one that may hold anything.
 
 from __future__ import annotations
 
+import sys
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -16,10 +17,9 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import millrace
 
 # What runs in Python workers travels with the job.
-cloudpickle.register_pickle_by_value(millrace)
+cloudpickle.register_pickle_by_value(sys.modules["millrace"])
 
 BITS, PROBES = 16, 4
 FOLDER = "_keys"

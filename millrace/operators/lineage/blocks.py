@@ -11,6 +11,7 @@ A node with very many edges hands them to relays, each with a share, which pass
 from __future__ import annotations
 
 import pickle
+import sys
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -22,14 +23,13 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-import millrace
 from millrace.operators.lineage.rounds import check_round
 from millrace.operators.scan import scan
 from millrace.operators.skew import add_salt, hot_keys, repeat_for_salts
 from millrace.session import scratch_dir, stored
 
 # What runs in Python workers travels with the job.
-cloudpickle.register_pickle_by_value(millrace)
+cloudpickle.register_pickle_by_value(sys.modules["millrace"])
 
 #: A task works on so many edges in about the time that a round costs in any case; the number of blocks follows from the table.
 EDGES_PER_BLOCK = 500_000

@@ -7,6 +7,7 @@ known from the first and last row of each range. These two rows per range are al
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
@@ -17,11 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, IntegerType, LongType, StructField, StructType
 
-import millrace
 from millrace.session import shuffle_partitions, stored
 
 # What runs in Python workers travels with the job.
-cloudpickle.register_pickle_by_value(millrace)
+cloudpickle.register_pickle_by_value(sys.modules["millrace"])
 
 FIRST, LAST, HEAD = 1, 2, 4  # first and last row of a range, row of the range's first group
 

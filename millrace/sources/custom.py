@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import inspect
 import json
+import sys
 import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -35,10 +36,9 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
-import millrace
 
 # The functions of this package travel to the workers whole, so it need not be installed there.
-cloudpickle.register_pickle_by_value(millrace)
+cloudpickle.register_pickle_by_value(sys.modules["millrace"])
 
 OpenFile = Callable[..., Iterator[pa.RecordBatch]]
 SaveFile = Callable[[Iterator[pa.RecordBatch], object], None]

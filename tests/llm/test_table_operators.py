@@ -377,6 +377,28 @@ def test_passages_of_frequent_lines_meet(spark):
     assert {(x["doc_id"], x["ref_id"]) for x in out} == {(310, 300)}
 
 
+def test_changed_passages_of_frequent_pieces_meet(spark):
+    r = random.Random(12)
+    passage = prose(r, 60)
+    changed = list(passage)
+    for j in (11, 24, 37, 50):
+        changed[j] = f"new{j}"
+    rows = {}
+    for first in (200, 400, 600):
+        for i in range(30):
+            for j, version in enumerate((passage, changed)):
+                begin = r.randrange(31)
+                rows[first + 2 * i + j] = prose(r, 20) + version[begin : begin + 30] + prose(r, 20)
+    rows[300], rows[500] = prose(r, 20) + passage + prose(r, 20), prose(r, 30) + changed + prose(r, 10)
+    # Frequent lines with one word between them, which differs, in many documents: each pair of them is linked.
+    lines = [prose(r, 30), prose(r, 30)]
+    rows |= {1000 + i: prose(r, 20) + lines[0] + [f"slot{i}"] + lines[1] + prose(r, 20) for i in range(40)}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows.items()], "doc_id long, text string")
+    out = {(x["doc_id"], x["ref_id"]): x for x in passages.repeated_passages(docs).collect()}
+    assert tuple(out[500, 300]) == (500, 30, 90, 300, 20, 80, 56)
+    assert set(out) == {(500, 300)} | {(1000 + i, 1000 + j) for i in range(40) for j in range(i)}
+
+
 @pytest.mark.parametrize(("percent_changed", "recall"), [(15, 0.95), (20, 0.75)])
 def test_recall_of_changed_passages(spark, percent_changed, recall):
     r = random.Random(10)

@@ -422,3 +422,11 @@ def test_manifest_by_folder_at_every_depth(spark):
         ("x/y/", 1): (2, 2, 2, 2, 1, '["z/"]'),
         ("x/y/z/", 0): (3, 1, 1, 2, 1, '["n"]'),
     }
+
+
+def test_rounds_broadcast_no_blocks(spark):
+    edges = spark.range(2000).selectExpr("id AS source_id", "id + 1 AS target_id")
+    with blocks.BlockGraph(edges, edges_per_block=100) as graph:
+        graph.run(order._level_step)
+        plan = graph._with_inbox(graph._with_states(), graph._rounds - 2)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == 2 and "Broadcast" not in plan

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -430,3 +431,18 @@ def test_rounds_broadcast_no_blocks(spark):
         graph.run(order._level_step)
         plan = graph._with_inbox(graph._with_states(), graph._rounds - 2)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("SortMergeJoin") == 2 and "Broadcast" not in plan
+
+
+def test_blocks_reach_python_one_at_a_time(spark):
+    edges = spark.range(2000).selectExpr("id AS source_id", "id + 1 AS target_id")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    with blocks.BlockGraph(edges, edges_per_block=100) as graph:
+        before = spark.conf.get(blocks.BATCH_ROWS)
+        with blocks.one_by_one(spark):
+            found = [r.n for r in graph._with_states().coalesce(1).select("block", "part").mapInArrow(sizes, "n long").collect()]
+        assert found == [1] * len(graph.blocks) and len(found) > 10
+        assert spark.conf.get(blocks.BATCH_ROWS) == before

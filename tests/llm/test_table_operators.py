@@ -414,3 +414,19 @@ def test_recall_of_changed_passages(spark, percent_changed, recall):
     print("recall", percent_changed, len(found) / n)
     assert found <= {(1000 + i, i) for i in range(n)}
     assert len(found) >= recall * n
+
+
+def test_matches_of_near_copies_are_made_once(spark):
+    r = random.Random(13)
+    text = prose(r, 200)
+    rows = {i: [f"new{i}x{j}" if r.random() < 0.06 else w for j, w in enumerate(text)] for i in range(12)}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows.items()], "doc long, text string")
+    codes = passages._word_codes(docs).select("doc", "codes", "small").cache()
+    found = [tuple(x) for x in passages.matches(codes, passages._places(passages.seeds(codes, 1))).collect()]
+    once = {x[:4] for x in found}
+    assert len({x[:2] for x in once}) == 12 * 11 // 2
+    assert len(found) <= 1.5 * len(once)
+    # Chains that see the same words are aligned in one row.
+    rows = passages._chained(spark.createDataFrame(found, passages._LINKS)).collect()
+    assert len({(x["doc"], x["ref"]) for x in rows}) == len(rows)
+    assert all(sum(x["sizes"]) == len(x["xs"]) == len(x["ys"]) for x in rows)

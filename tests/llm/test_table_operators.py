@@ -399,6 +399,17 @@ def test_changed_passages_of_frequent_pieces_meet(spark):
     assert set(out) == {(500, 300)} | {(1000 + i, 1000 + j) for i in range(40) for j in range(i)}
 
 
+def test_all_pairs_of_documents_with_a_common_passage_meet(spark):
+    r = random.Random(14)
+    passage = prose(r, 60)
+    rows = {i: prose(r, 20) + passage + prose(r, 20) for i in range(100)}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows.items()], "doc_id long, text string")
+    out = passages.repeated_passages(docs).collect()
+    assert {(x["doc_id"], x["ref_id"]) for x in out} == {(i, j) for i in range(100) for j in range(i)}
+    # Words beside the passage can agree by chance.
+    assert all(x["start"] <= 20 and x["end"] >= 80 and x["ref_start"] <= 20 and x["ref_end"] >= 80 for x in out)
+
+
 @pytest.mark.parametrize(("percent_changed", "recall"), [(15, 0.95), (20, 0.75)])
 def test_recall_of_changed_passages(spark, percent_changed, recall):
     r = random.Random(10)

@@ -322,6 +322,38 @@ def test_best_chain_against_all_chains():
         assert sorted(i for p in paths for i in p.tolist()) == list(range(n))
 
 
+def test_chains_of_many_pairs_are_those_of_each():
+    r = np.random.default_rng(15)
+    pair, x, y = [], [], []
+    for p in range(40):
+        at = np.unique(r.integers(0, r.integers(3, 60), (int(r.integers(2, 70)), 2)), axis=0)
+        at = at[np.lexsort((at[:, 0], at[:, 1] - at[:, 0]))]
+        pair, x, y = pair + [p] * len(at), x + at[:, 0].tolist(), y + at[:, 1].tolist()
+    pair, x, y = (np.array(c) for c in (pair, x, y))
+    weight = r.integers(1, 20, len(x))
+    found, sizes = passages.chains_of(pair, x, y, weight)
+    want = {tuple(np.flatnonzero(pair == p)[c].tolist()) for p in range(40) for c in passages.chains(x[pair == p], y[pair == p], weight=weight[pair == p])}
+    assert len(want) > 100 and len(sizes) == len(want)
+    assert {tuple(c.tolist()) for c in np.split(found, sizes.cumsum()[:-1])} == want
+
+
+def test_gaps_and_ends_of_many_chains_are_aligned_as_each():
+    r = np.random.default_rng(16)
+    a, b = (r.integers(0, 3, 3000).astype(np.uint32) for _ in range(2))
+    b[1000:1400] = a[1000:1400]
+    b[r.integers(1000, 1400, 20)] = 7
+    m, n = r.integers(0, 70, 500), r.integers(0, 70, 500)
+    a0, b0 = r.integers(100, 2500, 500), r.integers(100, 2500, 500)
+    assert passages._common(a, a0, m, b, b0, n).tolist() == [passages.common_words(a[i : i + k], b[j : j + h]) for i, k, j, h in zip(a0, m, b0, n, strict=True)]
+    m, n = r.integers(0, 500, 500), r.integers(0, 500, 500)
+    a0 = b0 = r.integers(700, 1500, 500)
+    for way in (1, -1):
+        got = passages._outwards(a, a0, m, b, b0, n, way)
+        want = [passages._outward(a[i : i + k * way : way][:k], b[j : j + h * way : way][:h]) for i, k, j, h in zip(a0, m, b0, n, strict=True)]
+        assert list(zip(*(c.tolist() for c in got), strict=True)) == want
+        assert max(length for length, _, _ in want) > 128
+
+
 def test_passages_are_found_and_clean_documents_left_alone(spark):
     r = random.Random(8)
     passage, fuzzy, line = prose(r, 60), prose(r, 80), prose(r, 20)

@@ -322,6 +322,19 @@ def test_best_chain_against_all_chains():
         assert sorted(i for p in paths for i in p.tolist()) == list(range(n))
 
 
+def test_marks_that_differ_in_their_lowest_bits_are_paired():
+    r = random.Random(17)
+    for bits, most in ((8, passages.PAIRS), (24, passages.PAIRS), (8, 3)):
+        mark = np.array([r.randrange(30) << bits | r.randrange(4) for _ in range(120)] + [99 << bits] * 3, np.uint64)
+        passages.PAIRS, before = most, passages.PAIRS
+        try:
+            found = [(min(p, q), max(p, q)) for i, j in passages._differing(mark, bits) for p, q in zip(i.tolist(), j.tolist(), strict=True)]
+        finally:
+            passages.PAIRS = before
+        m = mark.tolist()
+        assert sorted(found) == [(i, j) for i in range(len(m)) for j in range(i + 1, len(m)) if m[i] >> bits == m[j] >> bits and m[i] != m[j]]
+
+
 def test_chains_of_many_pairs_are_those_of_each():
     r = np.random.default_rng(15)
     pair, x, y = [], [], []

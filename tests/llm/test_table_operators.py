@@ -455,6 +455,18 @@ def test_all_pairs_of_documents_with_a_common_passage_meet(spark):
     assert all(x["start"] <= 20 and x["end"] >= 80 and x["ref_start"] <= 20 and x["ref_end"] >= 80 for x in out)
 
 
+def test_all_places_of_repeating_texts_meet():
+    # One document says a line once, the other again and again, 12 words apart: each place is a passage of its own.
+    line = np.arange(12, dtype=np.uint8)
+    once, again = np.concatenate([line] * 5), np.concatenate([line] * 10)
+    x = np.arange(0, 72, 12)
+    around = [once, *(again[max(0, i - passages.LEFT) : i + passages.RIGHT] for i in x)]
+    offsets = np.concatenate([[0], np.cumsum([len(w) for w in around])])
+    doc, before = np.array([1] + [2] * 6), np.array([500, 600] + [11] * 5)
+    found = np.concatenate(list(passages.links(np.zeros(7, np.int64), doc, np.concatenate([[0], x]), before, np.concatenate(around), offsets)), axis=1)
+    assert {(int(p), int(q)) for p, q in zip(found[2], found[3], strict=True) if q == 0 and p % 12 == 0} >= {(int(i), 0) for i in x}
+
+
 @pytest.mark.parametrize(("percent_changed", "recall"), [(15, 0.95), (20, 0.75)])
 def test_recall_of_changed_passages(spark, percent_changed, recall):
     r = random.Random(10)
